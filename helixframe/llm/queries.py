@@ -7,11 +7,16 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, chat, packing, token_orc, tokens
+from helixframe.llm import bpe, chat, importance, packing, quality_rules, simhash, token_orc, tokens
 from helixframe.llm.common import new_path, table, texts
 
 
+def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.load()
@@ -32,6 +37,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-orc")
     token_orc.write_token_orc(table(spark, sf_dir, "documents"), path, end=2)
@@ -39,6 +49,12 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("doc_id", "start", "cast(n_tokens as long) n_tokens", "ids_crc32")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.rate(table(spark, sf_dir, "documents"))
+    asked = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.select("doc_id", *(F.col(f"s.{c}").alias(c) for c in asked), F.col("failed").alias("base_failed"), "kept", "mahalanobis")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc(packing.pack(table(spark, sf_dir, "documents"), length=2048, end=1))
 
@@ -50,5 +66,13 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_token_orc": op4_token_orc, "op6_packing": op6_packing, "op9_chat": op9_chat}
+QUERIES = {
+    "op1_importance": op1_importance,
+    "op2_bpe": op2_bpe,
+    "op3_simhash": op3_simhash,
+    "op4_token_orc": op4_token_orc,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_packing": op6_packing,
+    "op9_chat": op9_chat,
+}
 ORACLES: dict[str, str] = {}
