@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, chat, importance, packing, quality_rules, simhash, token_orc, tokens
+from helixframe.llm import bpe, chat, ctw, importance, packing, quality_rules, simhash, token_orc, tokens
 from helixframe.llm.common import new_path, table, texts
 
 
@@ -59,6 +59,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc(packing.pack(table(spark, sf_dir, "documents"), length=2048, end=1))
 
 
+def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ctw.score(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
@@ -73,6 +78,7 @@ QUERIES = {
     "op4_token_orc": op4_token_orc,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
+    "op7_ctw": op7_ctw,
     "op9_chat": op9_chat,
 }
 ORACLES: dict[str, str] = {}
