@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, chat, ctw, importance, packing, quality_rules, simhash, token_orc, tokens
+from helixframe.llm import ann, bpe, chat, ctw, importance, packing, quality_rules, simhash, token_orc, tokens, warc
 from helixframe.llm.common import new_path, table, texts
 
 
@@ -64,6 +64,10 @@ def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
@@ -71,6 +75,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_records(warc.archive_pages(spark, table(spark, sf_dir, "pages")))
+
+
 QUERIES = {
     "op1_importance": op1_importance,
     "op2_bpe": op2_bpe,
@@ -79,6 +87,8 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
     "op7_ctw": op7_ctw,
+    "op8_ann": op8_ann,
     "op9_chat": op9_chat,
+    "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {}
