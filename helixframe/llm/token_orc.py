@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import bpe
-from helixframe.llm.common import texts
+from helixframe.llm.common import materialise, texts
 from helixframe.llm.tokens import encode_batches
 
 SCHEMA = "shard int, doc_id long, start_in_shard long, n_tokens int, ids array<int>"
@@ -60,5 +60,7 @@ def read_token_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = N
     sums = stored.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sums.select(F.col("shard").alias("s"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("first"))
+    # Small and of known size once written, so Spark sends it to the shards rather than exchange the ids; with very many shards it does exchange.
+    firsts = materialise(firsts, "token-orc-firsts")
     rows = stored if doc_ids is None else stored.where(F.col("doc_id").isin(doc_ids))
     return rows.join(firsts, rows.shard == firsts.s).select("doc_id", (F.col("first") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids")
