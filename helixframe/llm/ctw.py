@@ -18,23 +18,27 @@ one half."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+import pickle
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import free, materialise, texts, utf8
+from helixframe.llm.common import free, materialise, texts, tidy, utf8
 
 DEPTH = 5
 CUT = 3  # contexts of fewer bytes than this are valued by SQL
 BLOCK_BYTES = 32 << 20
+PIECE_BYTES = 1 << 20
 SLICE_RUNS = 1 << 16
 END = b"\n"
-BLOCKS = "block long, doc_ids array<long>, held_out array<boolean>, ends array<long>, stream binary"
+BLOCKS = "block long, piece long, data binary"
 TABLE = np.array([[math.lgamma(k + 0.5), math.lgamma(k + 1.0)] for k in range(1024)])
 
 
@@ -55,82 +59,46 @@ def normalised(text: bytes) -> bytes:
 
 
 def block_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block, ids, held, parts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+    """Blocks of about BLOCK_BYTES, each in pieces of whole texts: ids, held out or not, ends and the bytes, pickled."""
+    block, piece, size = TaskContext.get().partitionId() << 32, 0, 0
+    ids, held, parts, held_bytes = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
-        ends = np.cumsum([len(p) for p in parts])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([ends], pa.list_(pa.int64())), pa.array([b"".join(parts)])],
-            ["block", "doc_ids", "held_out", "ends", "stream"],
-        )
+        data = pickle.dumps((ids, np.array(held, bool), np.cumsum([len(p) for p in parts]), b"".join(parts)))
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([piece]), pa.array([data])], ["block", "piece", "data"])
 
     for b in batches:
         for i, h, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), utf8(b.column(1))):
             ids.append(i)
             held.append(h)
             parts.append(normalised(t))
-            size += len(parts[-1])
-            if size >= BLOCK_BYTES:
+            held_bytes += len(parts[-1])
+            if held_bytes >= PIECE_BYTES:
                 yield flush()
-                block, ids, held, parts, size = block + 1, [], [], [], 0
+                size += held_bytes
+                piece, ids, held, parts, held_bytes = piece + 1, [], [], [], 0
+                if size >= BLOCK_BYTES:
+                    block, piece, size = block + 1, 0, 0
     if ids:
         yield flush()
 
 
 def to_blocks(docs: DataFrame) -> DataFrame:
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1).alias("held")
-    return texts(docs).select("doc_id", "text", held).mapInArrow(block_batches, BLOCKS)
+    return texts(docs).select("doc_id", "text", held).mapInArrow(tidy(block_batches), BLOCKS)
 
 
-def runs(stream: bytes, ends: np.ndarray, depth: int = DEPTH) -> Iterator[tuple[int, int, np.ndarray]]:
-    """For slices of whole texts: first and last text, and the run of depth + 1 bytes that ends at each byte, as an integer."""
+def runs(stream: bytes, ends: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """The run of depth + 1 bytes that ends at each byte of the texts, as an integer."""
     starts = np.concatenate([[0], ends[:-1]])
-    first = 0
-    while first < len(ends):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + (1 << 20), "right")))
-        size = np.diff(ends[first:last], prepend=starts[first])
-        padded = np.frombuffer((END * depth).join([b"", *(stream[a:b] for a, b in zip(starts[first:last], ends[first:last]))]), np.uint8)
-        code = np.zeros(len(padded) - depth, np.int64)
-        for j in range(depth + 1):
-            code = (code << 8) | padded[j : len(code) + j]
-        places = np.cumsum(size + depth) - (size + depth)
-        real = np.ones(len(padded), bool)
-        for j in range(depth):
-            real[places + j] = False
-        yield first, last, code[real[depth:]]
-        first = last
-
-
-def blocks_of(batches: Iterable[pa.RecordBatch | pa.Table]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, bytes]]:
-    for b in batches:
-        for i in range(b.num_rows):
-            yield b.column(0)[i].as_py(), b.column(1)[i].as_py(), np.array(b.column(2)[i].as_py(), bool), np.array(b.column(3)[i].as_py(), np.int64), b.column(4)[i].as_py()
-
-
-def count_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """block, run and its training count, for each different run of a block."""
-    for block, _, held, ends, stream in blocks_of(batches):
-        known, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        waiting = []
-
-        def merge(known: np.ndarray, counts: np.ndarray, waiting: list) -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([known, *(k for k, _ in waiting)])
-            found, at = np.unique(keys, return_inverse=True)
-            return found, np.bincount(at, np.concatenate([counts, *(c for _, c in waiting)]), len(found)).astype(np.int64)
-
-        for first, last, code in runs(stream, ends):
-            size = np.diff(ends[first:last], prepend=ends[first - 1] if first else 0)
-            out = np.repeat(held[first:last], size)
-            seen, n = np.unique(code[~out], return_counts=True)
-            waiting += [(seen, n), (np.unique(code[out]), np.zeros(0))]
-            waiting[-1] = (waiting[-1][0], np.zeros(len(waiting[-1][0])))
-            if sum(len(k) for k, _ in waiting) > 1 << 20:
-                known, counts = merge(known, counts, waiting)
-                waiting = []
-        known, counts = merge(known, counts, waiting)
-        for i in range(0, len(known), 1 << 17):
-            part = known[i : i + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part), pa.array(counts[i : i + (1 << 17)])], ["block", "run", "n"])
+    padded = np.frombuffer((END * depth).join([b"", *(stream[a:b] for a, b in zip(starts.tolist(), ends.tolist()))]), np.uint8)
+    code = np.zeros(len(padded) - depth, np.int64)
+    for j in range(depth + 1):
+        code = (code << 8) | padded[j : len(code) + j]
+    real = np.ones(len(padded), bool)
+    for j in range(depth):
+        real[starts + depth * np.arange(len(ends)) + j] = False
+    return code[real[depth:]]
 
 
 def words_of(stream: bytes, ends: np.ndarray) -> Iterator[list[bytes]]:
@@ -140,18 +108,63 @@ def words_of(stream: bytes, ends: np.ndarray) -> Iterator[list[bytes]]:
         start = end
 
 
+def by_block(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """Each block with its pieces; the pieces of a block come one after the other."""
+    rows = ((block, data.as_py()) for b in batches for block, data in zip(b.column(0).to_pylist(), b.column(2)))
+    for block, group in groupby(rows, key=lambda r: r[0]):
+        yield block, (pickle.loads(data) for _, data in group)
+
+
+class Counts:
+    """Sums by key, in sorted arrays."""
+
+    def __init__(self):
+        self.keys, self.sums, self.waiting, self.size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.waiting.append((keys, counts))
+        self.size += len(keys)
+        if self.size > max(1 << 18, len(self.keys)):
+            self.settle()
+
+    def settle(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.waiting)])
+        counts = np.concatenate([self.sums, *(c for _, c in self.waiting)])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        self.keys, self.sums = keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+        self.waiting, self.size = [], 0
+
+
+def count_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, run and its training count, for each different run of a block."""
+    for block, pieces in by_block(batches):
+        counts = Counts()
+        for _, held, ends, stream in pieces:
+            out = np.repeat(held, np.diff(ends, prepend=0))
+            code = runs(stream, ends)
+            counts.add(*np.unique(code[~out], return_counts=True))
+            seen = np.unique(code[out])
+            counts.add(seen, np.zeros(len(seen), np.int64))
+        counts.settle()
+        for i in range(0, len(counts.keys), 1 << 16):
+            part = counts.keys[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part), pa.array(counts.sums[i : i + (1 << 16)])], ["block", "run", "n"])
+
+
 def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """block, word and its training count, for each different word of a block."""
-    for block, _, held, ends, stream in blocks_of(batches):
-        counts: dict[bytes, int] = {}
-        get = counts.get
-        for out, words in zip(held, words_of(stream, ends)):
-            step = 0 if out else 1
-            for w in words:
-                counts[w] = get(w, 0) + step
-        items = list(counts.items())
-        for i in range(0, len(items), 1 << 16):
-            part = items[i : i + (1 << 16)]
+    for block, pieces in by_block(batches):
+        counts: Counter[bytes] = Counter()
+        others: set[bytes] = set()
+        for _, held, ends, stream in pieces:
+            for out, words in zip(held.tolist(), words_of(stream, ends)):
+                (others if out else counts).update(words)
+        for w in others:
+            counts.setdefault(w, 0)
+        items = iter(counts.items())
+        while part := list(islice(items, 1 << 15)):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array([w for w, _ in part]), pa.array([n for _, n in part], pa.int64())], ["block", "word", "n"])
 
 
@@ -273,61 +286,98 @@ def learn(counts: DataFrame) -> DataFrame:
     context = F.shiftright("run", 8).bitwiseAND(CONTEXT).alias("context")
     placed = counts.select(context, "run", "n")
     sorted_ = placed.repartition("context").sortWithinPartitions("context")
-    deep = materialise(sorted_.mapInArrow(rise, "node long, n0 long, n1 long, weighted double"), "ctw-deep")
+    deep = materialise(sorted_.mapInArrow(tidy(rise), "node long, n0 long, n1 long, weighted double"), "ctw-deep")
     top = shallow(deep).select(F.shiftright("node", 8).bitwiseAND(CONTEXT).alias("context"), F.lit(None).cast("long").alias("run"), F.lit(None).cast("long").alias("n"), "node", "one", "rest")
     rows = placed.select("*", F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("one"), F.lit(None).cast("double").alias("rest")).union(top)
-    return rows.repartition("context").sortWithinPartitions("context").mapInArrow(descend, "v_run long, value double")
+    return rows.repartition("context").sortWithinPartitions("context").mapInArrow(tidy(descend), "v_run long, value double")
+
 
+BYTE_SCORES = "block long, piece long, place long, doc_id long, held_out boolean, score double, n_bytes long"
+WORD_SCORES = "block long, piece long, place long, n_tokens long, n_known long, base_score double"
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
 
+def beside(answers: DataFrame, blocks: DataFrame) -> DataFrame:
+    """block, is_piece, number, value, data: each block's answers, then its pieces, together in a partition. answers: block, number, value, data."""
+    rows = answers.withColumn("is_piece", F.lit(False)).unionByName(blocks.select("block", F.lit(True).alias("is_piece"), F.col("piece").alias("number"), F.lit(None).cast("double").alias("value"), "data"))
+    return rows.select("block", "is_piece", "number", "value", "data").repartition("block").sortWithinPartitions("block", "is_piece")
 
-def score_block(tokens: int, words: int):
-    """tokens, words: training tokens, and different ones."""
-    unseen = tokens + 0.5 * (words + 1)
 
-    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {f.split(" ")[0]: [] for f in SCORES.split(", ")}
-        is_run = np.asarray(answers.column(1).is_valid())
-        byte = answers.filter(pa.array(is_run))
-        key, value = byte.column(1).to_numpy(), byte.column(3).to_numpy()
+def with_answers(batches: Iterable[pa.RecordBatch], gather: Callable) -> Iterator[tuple]:
+    """block, piece number, piece, and what gather makes of the block's answers."""
+    now, answers, ready = None, [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        block, piece = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((block[1:] != block[:-1]) | (piece[1:] != piece[:-1])) + 1
+        for first, last in zip([0, *cuts], [*cuts, b.num_rows]):
+            if block[first] != now:
+                now, answers, ready = block[first], [], None
+            part = b.slice(first, last - first)
+            if not piece[first]:
+                answers.append(part.select([2, 3, 4]))
+                continue
+            if ready is None:
+                ready, answers = gather(answers), []
+            for number, data in zip(part.column(2).to_pylist(), part.column(4)):
+                yield int(now), number, pickle.loads(data.as_py()), ready
+
+
+def score_bytes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """BYTE_SCORES. Answers: run and value of all runs of a block."""
+
+    def gather(answers: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        key = np.concatenate([a.column(0).to_numpy() for a in answers])
         order = np.argsort(key)
-        key, value = key[order], value[order]
-        word = answers.filter(pa.array(~is_run))
-        count = word.column(3).to_numpy()
-        names = word.column(2).to_pylist()
-        known = dict(zip(names, (count > 0).tolist()))
-        worth = dict(zip(names, np.log10((count + 0.5) / unseen).tolist()))
-        for _, ids, held, ends, stream in blocks_of([block]):
-            for first, last, code in runs(stream, ends):
-                size = np.diff(ends[first:last], prepend=ends[first - 1] if first else 0)
-                found = value[np.searchsorted(key, code)]
-                out["score"] += np.add.reduceat(found, np.cumsum(size) - size).tolist()
-                out["n_bytes"] += size.tolist()
-            for words in words_of(stream, ends):
-                out["n_tokens"].append(len(words))
-                out["n_known"].append(sum(map(known.__getitem__, words)))
-                out["base_score"].append(math.fsum(map(worth.__getitem__, words)))
-            out["doc_id"] += ids
-            out["held_out"] += held.tolist()
-        return pa.table({k: pa.array(v, pa.float64() if "score" in k else pa.bool_() if k == "held_out" else pa.int64()) for k, v in out.items()})
+        return key[order], np.concatenate([a.column(1).to_numpy() for a in answers])[order]
+
+    for block, piece, (ids, held, ends, stream), (key, value) in with_answers(batches, gather):
+        size, n = np.diff(ends, prepend=0), len(ids)
+        score = np.add.reduceat(value[np.searchsorted(key, runs(stream, ends))], ends - size)
+        columns = [np.full(n, block), np.full(n, piece), np.arange(n), pa.array(ids, pa.int64()), held, score, size]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "piece", "place", "doc_id", "held_out", "score", "n_bytes"])
+
+
+def score_words(tokens: int, different: int) -> Callable:
+    """Gives WORD_SCORES. tokens, different: training tokens, and words among them; answers: word and count of all words of a block."""
+    unseen = tokens + 0.5 * (different + 1)
+
+    def gather(answers: list[pa.RecordBatch]) -> tuple[dict, set]:
+        worth: dict[bytes, float] = {}
+        unknown: set[bytes] = set()
+        for a in answers:
+            names, count = a.column(2).to_pylist(), a.column(1).to_numpy()
+            worth.update(zip(names, np.log10((count + 0.5) / unseen).tolist()))
+            unknown.update(names[i] for i in np.flatnonzero(count == 0))
+        return worth, unknown
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, piece, (ids, _, ends, stream), (worth, unknown) in with_answers(batches, gather):
+            out = [(len(w), len(w) - sum(map(unknown.__contains__, w)), math.fsum(map(worth.__getitem__, w))) for w in words_of(stream, ends)]
+            n = len(ids)
+            columns = [np.full(n, block), np.full(n, piece), np.arange(n), *(np.array([o[i] for o in out], k) for i, k in enumerate((np.int64, np.int64, float)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "piece", "place", "n_tokens", "n_known", "base_score"])
 
     return run
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """SCORES of each document, with train_tokens and the code length per byte."""
+    """doc_id, held_out, score, n_bytes, n_tokens, n_known, base_score, train_tokens and bits_per_byte of each document."""
+    spark = docs.sparkSession
     blocks = materialise(to_blocks(docs), "ctw-blocks")
-    asked = materialise(blocks.mapInArrow(count_runs, "block long, run long, n long"), "ctw-runs")
-    asked_words = materialise(blocks.mapInArrow(count_words, "block long, word binary, n long"), "ctw-words")
-    counts = materialise(asked.groupBy("run").agg(F.sum("n").alias("n")), "ctw-counts")
-    values = materialise(learn(counts), "ctw-values")
-    words = materialise(asked_words.groupBy(F.col("word").alias("w")).agg(F.sum("n").alias("c")), "ctw-word-counts")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    free(docs.sparkSession)
-    answers = asked.join(values, F.col("run") == F.col("v_run")).select("block", "run", F.lit(None).cast("binary").alias("word"), "value")
-    answers = answers.union(asked_words.join(words, F.col("word") == F.col("w")).select("block", F.lit(None).cast("long"), "word", F.col("c").cast("double")))
-    rows = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block(total[0], total[1]), SCORES)
+    asked = materialise(blocks.mapInArrow(tidy(count_runs), "block long, run long, n long"), "ctw-runs")
+    values = materialise(learn(materialise(asked.groupBy("run").agg(F.sum("n").alias("n")), "ctw-counts")), "ctw-values")
+    free(spark)
+    none = F.lit(None).cast("binary").alias("data")
+    answers = asked.join(values, F.col("run") == F.col("v_run")).select("block", F.col("run").alias("number"), "value", none)
+    by_byte = materialise(beside(answers, blocks).mapInArrow(tidy(score_bytes), BYTE_SCORES), "ctw-byte-scores")
+    free(spark)
+    same = Window.partitionBy("word")
+    counted = blocks.mapInArrow(tidy(count_words), "block long, word binary, n long").select("block", "word", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
+    counted = materialise(counted, "ctw-words")
+    total = counted.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    free(spark)
+    answers = counted.select("block", F.lit(None).cast("long").alias("number"), F.col("c").cast("double").alias("value"), F.col("word").alias("data"))
+    by_word = beside(answers, blocks).mapInArrow(tidy(score_words(total[0], total[1])), WORD_SCORES)
+    rows = by_byte.join(by_word, ["block", "piece", "place"]).drop("block", "piece", "place")
     return rows.withColumns({"train_tokens": F.lit(int(total[0])).cast("long"), "bits_per_byte": -F.col("score") * math.log2(10) / F.col("n_bytes")})
-
-
