@@ -115,6 +115,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
+NAMES = ["qb", "cb", "vec_id", "vector", "code", "row"]
 FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
@@ -149,7 +150,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = NEIGHBOURS, id_col: str =
 
     def search(there: pa.Table, ask: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if there.num_rows and ask.num_rows:
+        if min(there.num_columns, ask.num_columns) >= 4 and there.num_rows and ask.num_rows:
+            there, ask = (t.rename_columns(NAMES[-t.num_columns :]) for t in (there, ask))
             v, q = matrix(there.column("vector"), dim), matrix(ask.column("vector"), dim)
             norm, q_norm = np.sqrt((v * v).sum(1)), np.sqrt((q * q).sum(1))
             index = Index(there.column("code").to_numpy().view(np.uint64))

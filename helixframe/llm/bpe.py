@@ -15,7 +15,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -80,11 +80,6 @@ class Bpe:
                 self.rank[whole], self.left[whole], self.right[whole] = r, vocab[a], vocab[b]
         self.length = [len(raw.get(i, "")) for i in range(self.size)]
         self.longest = max(map(len, self.plain))
-        self.shorter = self._shorter()
-        self.automaton = ahocorasick.Automaton()
-        for t, i in self.plain.items():
-            self.automaton.add_word(t, i)
-        self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.matches, self.rests = {}, {}
         self.pre = regex.compile(PRE_TOKENS)
@@ -94,7 +89,16 @@ class Bpe:
         self.blob = np.frombuffer(b"".join(table), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in table])]).astype(np.int64)
 
-    def _shorter(self) -> list[int]:
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        out = ahocorasick.Automaton()
+        for t, i in self.plain.items():
+            out.add_word(t, i)
+        out.make_automaton()
+        return out
+
+    @cached_property
+    def shorter(self) -> list[int]:
         """Of each token, the longest token that is a proper prefix of it, or -1."""
         out = [-1] * self.size
         for t, i in self.plain.items():

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm import bpe
-from helixframe.llm.common import utf8
+from helixframe.llm.common import light, tidy, utf8
 from helixframe.llm.tokens import id_lists, list_parts
 
 MARKS = ("<|turn|>", "<|says|>", "<|done|>")
@@ -83,8 +83,9 @@ def format_turns(df: DataFrame, tokenizer: str | None = None, ranks: str | None
             masks = id_lists([m for _, m in out]).cast(pa.list_(pa.int8()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), id_lists([i for i, _ in out]), masks], ["conv_id", "turn", "ids", "loss_mask"])
 
+    light(df.sparkSession)
     rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, TURNS).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ids")
+    return rows.mapInArrow(tidy(run), TURNS).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ids")
 
 
 def digests(turns: DataFrame, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
@@ -117,7 +118,7 @@ def digests(turns: DataFrame, tokenizer: str | None = None, ranks: str | None =
         if rows:
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], OUT)
 
-    return turns.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return turns.mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 OUT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])

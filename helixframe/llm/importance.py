@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed word n-grams (one word and two), one of the wanted text and one of all text, give each document a log weight, the sum
-of log ratios of its n-grams. A Gumbel variate of the document's id is added, and the k largest sums are a sample without replacement in proportion to
+Two generative models over hashed word n-grams (one word and two), one of the wanted text and one of all text, give each document a log weight: the
+mean log ratio of its n-grams, as for a text of NORMAL of them, so that the length of a text doesn't decide. A Gumbel variate of the document's id is added, and the k largest sums are a sample without replacement in proportion to
 the weights. k is the share of wanted documents among the labelled ones, times the number of documents. temperature scales the noise: 1 is plain
 sampling, less comes closer to taking the largest weights.
 
@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import fresh, materialise, slices, texts, utf8
+from helixframe.llm.common import fresh, light, materialise, slices, texts, tidy, utf8
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 200_000
 SMOOTH = 0.5
+NORMAL = 100
+SLICE_BYTES = 2 << 20
 TEMPERATURE = 0.25
 
 
@@ -57,7 +59,7 @@ def features(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def count_batches(batches: Iterable[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for b in slices(batches, 1):
+    for b in slices(batches, 1, SLICE_BYTES):
         ids = b.column(0).to_numpy(zero_copy_only=False)
         chosen = np.isin(np.nan_to_num(ids.astype(float), nan=-1.0).astype(np.int64) if b.column(0).null_count else ids, wanted)
         if b.column(0).null_count:
@@ -75,7 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     share = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     some = known.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h"))
     wanted = np.sort(np.array([r[0] for r in some.orderBy("h", "doc_id").limit(TARGET_ROWS).collect()], np.int64))
-    counts = texts(docs).mapInArrow(lambda bs: count_batches(bs, wanted), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = texts(docs).mapInArrow(tidy(lambda bs: count_batches(bs, wanted)), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.full(BUCKETS, SMOOTH), np.full(BUCKETS, SMOOTH)
     for r in counts.collect():  # BUCKETS rows at most
         raw[r.bucket] += r.raw
@@ -93,12 +95,12 @@ def gumbel(ids: pa.Array) -> np.ndarray:
 
 def score_batches(batches: Iterable[pa.RecordBatch], ratio: np.ndarray, temperature: float, at: tuple[int, int]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each slice with its log weights and sums; at: the places of id and text."""
-    for b in slices(batches, at[1]):
+    for b in slices(batches, at[1], SLICE_BYTES):
         found, n = features(list(utf8(b.column(at[1]))))
         weights = np.zeros(b.num_rows)
         some = np.flatnonzero(n)
         if len(some):
-            weights[some] = np.add.reduceat(ratio[found], (np.cumsum(n) - n)[some])
+            weights[some] = NORMAL * np.add.reduceat(ratio[found], (np.cumsum(n) - n)[some]) / n[some]
         weights = np.round(weights, 6)
         yield b, weights, np.round(weights + temperature * gumbel(b.column(at[0])), 6)
 
@@ -130,7 +132,7 @@ def scored(docs: DataFrame, ratio: np.ndarray, temperature: float) -> DataFrame:
         for b, weights, keys in score_batches(batches, ratio, temperature, (0, 1)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weights), pa.array(keys)], ["doc_id", "log_weight", "key"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, log_weight double, key double")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, log_weight double, key double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
@@ -147,6 +149,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame, temperature: float = TE
     least = cutoff(materialise(scored(docs, ratio, temperature).select("key"), "importance"), share)
     if least is None:
         return docs
+    light(docs.sparkSession)
     i, t = fresh(docs, "id_to_score"), fresh(docs, "text_to_score")
     rows = docs.withColumns({i: F.col("doc_id").cast("long"), t: F.col("text").cast("string")})
     at = (len(docs.columns), len(docs.columns) + 1)
@@ -155,6 +158,6 @@ def filter_documents(docs: DataFrame, labels: DataFrame, temperature: float = TE
         for b, _, keys in score_batches(batches, ratio, temperature, at):
             yield b.select(list(range(at[0]))).filter(pa.array(keys >= least - 5e-7))
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(tidy(run), docs.schema)
 
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from helixframe.llm import bpe
-from helixframe.llm.common import texts
+from helixframe.llm.common import texts, tidy
 from helixframe.llm.tokens import encode_batches, list_parts
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
@@ -111,7 +111,7 @@ def pack_batches(batches: Iterable[pa.RecordBatch], encoder: bpe.Bpe, end: int,
 def pack(df: DataFrame, length: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, ranks: str | None = None, window_tokens: int = 1 << 20, linear: float = 1.0, quadratic: float = 1 / 1024) -> DataFrame:
     """One row for each piece, with its ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
     rows = texts(df, id_col, text_col)
-    return rows.mapInArrow(lambda bs: pack_batches(bs, bpe.load_library(tokenizer, ranks), end, length, window_tokens, linear, quadratic), SCHEMA)
+    return rows.mapInArrow(tidy(lambda bs: pack_batches(bs, bpe.load_library(tokenizer, ranks), end, length, window_tokens, linear, quadratic)), SCHEMA)
 
 
 def with_crc(df: DataFrame) -> DataFrame:
@@ -124,4 +124,4 @@ def with_crc(df: DataFrame) -> DataFrame:
             yield b.set_column(at, "ids_crc32", pa.array(crc, pa.int64()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" if f.name != "ids" else "ids_crc32 long" for f in df.schema.fields)
-    return df.mapInArrow(run, fields)
+    return df.mapInArrow(tidy(run), fields)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import fresh, materialise, texts, utf8
+from helixframe.llm.common import fresh, light, materialise, texts, tidy, utf8
 
 BLANK = b" \t\n\r\x0b\x0c"
 INNER = bytes(range(0x80, 0xC0))  # bytes that don't begin a code point
@@ -82,6 +82,7 @@ def text_stats(text: bytes) -> tuple[int, ...]:
 
 def with_stats(df: DataFrame, text_col: str, out: str, keep: list[str]) -> DataFrame:
     """keep, and a struct of STATS."""
+    light(df.sparkSession)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.StructType([T.StructField(s, T.LongType()) for s in STATS]))])
     rows = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias(fresh(df, "text_of_stats")))
 
@@ -91,7 +92,7 @@ def with_stats(df: DataFrame, text_col: str, out: str, keep: list[str]) -> DataF
             struct = pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(STATS))], list(STATS))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], struct], [*keep, out])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def base_failed(s: str) -> Column:

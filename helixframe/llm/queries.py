@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import ann, bpe, chat, ctw, importance, packing, quality_rules, simhash, token_orc, tokens, warc
-from helixframe.llm.common import new_path, table, texts
+from helixframe.llm.common import new_path, table, texts, tidy
 
 
 def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return texts(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(table(spark, sf_dir, "documents")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

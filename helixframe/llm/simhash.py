@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import fresh, materialise, texts, utf8
+from helixframe.llm.common import fresh, light, materialise, texts, tidy, utf8
 from helixframe.llm.components import components
 
 BITS, SEGMENTS, RADIUS = 64, 4, 2
@@ -50,6 +50,7 @@ def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
 
 def with_fingerprint(df: DataFrame, text_col: str, out: str, keep: list[str], width: int = 3) -> DataFrame:
     """keep, and the fingerprint as signed long."""
+    light(df.sparkSession)
     rows = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias(fresh(df, "text_of_shingles")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +59,7 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, keep: list[str], wi
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found)], [*keep, out])
 
     fields = df.select(*(F.col(f"`{c}`") for c in keep)).withColumn(out, F.lit(0).cast("long")).schema
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(tidy(run), fields)
 
 
 def ball_keys(fp: str) -> F.Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import bpe
-from helixframe.llm.common import materialise, texts
+from helixframe.llm.common import materialise, texts, tidy
 from helixframe.llm.tokens import encode_batches
 
 SCHEMA = "shard int, doc_id long, start_in_shard long, n_tokens int, ids array<int>"
@@ -43,7 +43,7 @@ def write_token_orc(df: DataFrame, path: str, end: int = 2, id_col: str = "doc_i
     tie = F.xxhash64("text")
     rows = rows.repartitionByRange(rows.doc_id.asc_nulls_first(), tie).sortWithinPartitions(rows.doc_id.asc_nulls_first(), tie)
     (
-        rows.mapInArrow(lambda bs: shard_batches(bs, bpe.load_library(tokenizer, ranks), end), SCHEMA)
+        rows.mapInArrow(tidy(lambda bs: shard_batches(bs, bpe.load_library(tokenizer, ranks), end)), SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
