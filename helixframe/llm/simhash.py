@@ -11,6 +11,7 @@ group that has others. Extra columns pass through keep_one(). An empty table giv
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -22,30 +23,33 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import fresh, light, materialise, texts, tidy, utf8
 from helixframe.llm.components import components
+from helixframe.llm.importance import mixed
 
 BITS, SEGMENTS, RADIUS = 64, 4, 2
 SEED = 42
 STEP = 1 << 16
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
-    """Of a text in UTF-8; only A-Z are lower-cased."""
-    words = text.lower().split()
+def shingle_hashes(words: list[bytes], width: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each run of width words, joined by blanks; of the whole sequence if it is shorter. At least one word."""
     n = len(words)
-    if not n:
-        return 0
     joined = memoryview(b" ".join(words))
     length = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(length + 1) - 1
-    first, last = (ends - length)[: n - width + 1 or None], ends[width - 1 :]
-    if n < width:
-        first, last = np.array([0]), np.array([len(joined)])
-    votes, total = np.zeros(BITS, np.int64), len(last)
-    for i in range(0, total, STEP):
-        cut = map(slice, first[i : i + STEP].tolist(), last[i : i + STEP].tolist())
-        found = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cut), repeat(seed)), np.uint64, min(STEP, total - i))
-        votes += np.unpackbits(found.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > total).tobytes(), "big")
+    first, last = ((ends - length)[: n - width + 1].tolist(), ends[width - 1 :].tolist()) if n >= width else ([0], [len(joined)])
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, first, last)), repeat(seed)), np.uint64, len(last))
+
+
+def fingerprint(text: bytes, width: int = 3, seed: int = SEED) -> int:
+    """Of a text in UTF-8; only A-Z are lower-cased."""
+    words = text.lower().split()
+    if not words:
+        return 0
+    found = shingle_hashes(words, width, seed)
+    votes = np.zeros(BITS, np.int64)
+    for i in range(0, len(found), STEP):
+        votes += np.unpackbits(found[i : i + STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(found)).tobytes(), "big")
 
 
 def with_fingerprint(df: DataFrame, text_col: str, out: str, keep: list[str], width: int = 3) -> DataFrame:
@@ -94,6 +98,81 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return rows.join(by_print, F.col("fp") == F.col("p_fp")).select("doc_id", "fp", "component_id")
 
 
+#: For similarity: bits of shingles that are compared as a whole, and segments of 32 bits of word pairs in which candidates are looked up.
+WHOLE_WORDS, PAIR_SEGMENTS, SEGMENT_BITS = 4, 6, 32
+
+
+def wide_print(text: bytes, width: int) -> np.ndarray:
+    """WHOLE_WORDS words of bits of the set of shingles, then those of the set of word pairs that PAIR_SEGMENTS take, as signed longs."""
+    words = text.lower().split()
+    out = []
+    for w, n in ((width, WHOLE_WORDS), (2, PAIR_SEGMENTS * SEGMENT_BITS // 64)):
+        found = np.unique(shingle_hashes(words, w)) if words else np.zeros(0, np.uint64)
+        votes = np.zeros(64 * n, np.int64)
+        for i in range(0, len(found), STEP // 16):
+            part = found[i : i + STEP // 16]
+            many = mixed(part[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            votes += np.unpackbits(many.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * votes > len(found)).view(np.int64))
+    return np.concatenate(out)
+
+
+def bits_for(similarity: float, spread: float = 0.6) -> int:
+    """Bits in which the whole fingerprints of sets of that Jaccard similarity differ, plus so many standard deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * WHOLE_WORDS
+    return round(n * p + spread * math.sqrt(n * p * (1 - p)))
+
+
+def with_wide_print(df: DataFrame, text_col: str, out: str, keep: list[str], width: int) -> DataFrame:
+    """keep, and the wide fingerprint as array<long>."""
+    light(df.sparkSession)
+    rows = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias(fresh(df, "text_of_shingles")))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [wide_print(x, width) for x in utf8(b.column(b.num_columns - 1))]
+            size = WHOLE_WORDS + PAIR_SEGMENTS * SEGMENT_BITS // 64
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * size), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*keep, out])
+
+    fields = df.select(*(F.col(f"`{c}`") for c in keep)).withColumn(out, F.array().cast("array<long>")).schema
+    return rows.mapInArrow(tidy(run), fields)
+
+
+def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """src, dst: pairs of fingerprints (id, prints) that share a key of a segment's ball and whose whole fingerprints are near enough.
+
+    Each is compared with the least of its key and with the one before it."""
+    part = lambda s: F.shiftrightunsigned(F.get("prints", F.lit(WHOLE_WORDS + s // 2)), SEGMENT_BITS * (s % 2)).bitwiseAND(0xFFFFFFFF).bitwiseOR(s << SEGMENT_BITS)
+    segments = prints.select("id", F.explode(F.array(*map(part, range(PAIR_SEGMENTS)))).alias("segment"))
+    ball = F.array(F.col("segment"), *(F.col("segment").bitwiseXOR(F.lit(1 << i)) for i in range(SEGMENT_BITS)))
+    table = segments.select("id", F.explode(ball).alias("key"))
+    same = Window.partitionBy("key").orderBy("id")
+    found = table.select("id", F.first("id").over(same).alias("least"), F.lag("id").over(same).alias("before")).where("before is not null")
+    pairs = found.select(F.col("id").alias("src"), F.explode(F.array("least", "before")).alias("dst")).distinct()
+    a, b = prints.select(F.col("id").alias("a_id"), F.col("prints").alias("a")), prints.select(F.col("id").alias("b_id"), F.col("prints").alias("b"))
+    both = pairs.join(a, F.col("src") == F.col("a_id")).join(b, F.col("dst") == F.col("b_id"))
+    far = sum((F.bit_count(F.get("a", F.lit(i)).bitwiseXOR(F.get("b", F.lit(i)))) for i in range(WHOLE_WORDS)), F.lit(0))
+    return both.where(far <= bits_for(similarity)).select("src", "dst")
+
+
+def keep_one_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of similar ones, the one of smallest id, with all its columns.
+
+    Documents are similar if the Jaccard similarity of their shingle sets is so or more, as far as 256 bits tell (a standard deviation of about 0.05);
+    candidates come from the bits of their word pairs, whose segments of 32 bits differ in 2 at most with a chance that grows with the similarity."""
+    wide, row = fresh(docs, "wide_print_of_text"), fresh(docs, "row_of_text")
+    rows = materialise(with_wide_print(docs, "text", wide, docs.columns, width).withColumn(row, F.monotonically_increasing_id()), "documents-with-prints")
+    narrow = rows.select(F.col(f"`{wide}`").alias("prints"), F.col(f"`{row}`").alias("row"), F.col("doc_id").cast("long").alias("doc"))
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("first")
+    prints = materialise(narrow.groupBy("prints").agg(first).withColumn("id", F.col("first.row")), "wide-prints")
+    joined = components(materialise(similar_links(prints.select("id", "prints"), similarity), "similar-links"))
+    labelled = prints.select("id", "first").join(joined, F.col("id") == F.col("node"), "left")
+    chosen = labelled.groupBy(F.coalesce("label", "id").alias("l")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("kept_row"))
+    return rows.join(chosen, F.col(f"`{row}`") == F.col("kept_row"), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     """One document of each group, the one of smallest id, with all its columns."""
     fp, row = fresh(docs, "fp_of_text"), fresh(docs, "row_of_text")

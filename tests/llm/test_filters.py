@@ -165,6 +165,26 @@ def test_near_duplicates(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_similar(spark):
+    rng = random.Random(11)
+    rows, parent = [], []
+    for i in range(25):
+        words = text(rng, 150).split()
+        for j in range(3):
+            copy = list(words)
+            for _ in range(j):
+                copy[rng.randrange(150)] = "changed"
+            rows.append((len(rows), " ".join(copy), "en", "s", "k"))
+            parent.append(i)
+    rows += [(900, None, None, None, None), (901, " ", "en", "s", "k"), (902, "two words", "en", "s", "k"), (None, rows[10][1], "en", "s", "k"), (3, rows[3][1], "en", "s", "k")]
+    df = spark.createDataFrame(rows, DOC)
+    kept = simhash.keep_one_similar(df.repartition(3))
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == df.columns and len(ids) == len(set(ids)) and {900, 902} <= set(ids) and 901 not in ids and None not in ids
+    assert {i for i in ids if i < 900} >= set(range(0, 75, 3)) and len(ids) <= 27 + 2  # one of each group, with what chance may leave
+    assert simhash.keep_one_similar(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, 200 + i) for i in range(1, 40)] + [(5, 5)]
