@@ -246,3 +246,13 @@ def best_hit(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", F.when(F.col("n") == 1, F.col("gene")).otherwise("Ambiguous_mapping").alias("gene"), "best")
 
 
+
+
+LOOSE = EXON_SQL.split(",\nf AS")[0] + """, o AS (SELECT gene, start AS s, end_ AS e, max(end_) OVER (PARTITION BY gene ORDER BY start, end_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM exon_rows),
+i AS (SELECT gene, s, e, sum(CASE WHEN upto IS NULL OR s > upto THEN 1 ELSE 0 END) OVER (PARTITION BY gene ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT gene, min(s) AS start, max(e) AS "end", count(*) AS members FROM i GROUP BY gene, island"""
+
+
+@query(LOOSE)
+def loose_exons(spark: SparkSession, d: str) -> DataFrame:
+    return regions.merge(exon_rows(spark, d).select("gene", "start", "end"), "gene")

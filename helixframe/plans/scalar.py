@@ -154,6 +154,15 @@ def adapter_scan(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "strand", "h.pos", "h.dist")
 
 
+SUMMARY_SQL = f""" SELECT id, CASE WHEN id % 7 = 0 THEN '*' ELSE CAST(CASE WHEN strand = 0 THEN strpos(seq, '{R1}') ELSE strpos(seq, '{X.R1_REVERSED}') END AS STRING) END AS places FROM reads"""
+
+
+@query(X.sql("reads").rstrip() + SUMMARY_SQL)
+def adapter_summary(spark: SparkSession, d: str) -> DataFrame:
+    hits = F.concat(adapters.scan(F.col("seq"), R1, 2), adapters.scan(F.col("seq"), X.R1_REVERSED, 2))
+    return X.frame(spark, d, "reads").select("id", C.joined(F.transform(hits, lambda h: h["pos"]), ",").alias("places"))
+
+
 CENSUS = "AAAAA"
 
 

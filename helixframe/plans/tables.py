@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import adapters, barcode, clones
+from helixframe.operators import adapters, barcode, calls, clones
 from helixframe.operators.chemistry import R1
 from helixframe.plans import fixtures as X
 from helixframe.plans.registry import query
@@ -180,3 +180,17 @@ def read_annotation_join(spark: SparkSession, d: str) -> DataFrame:
     hits = X.frame(spark, d, "hits").where("quantity > 25").select(F.col("id").alias("h_id"), "hit", F.concat(F.lit("G"), F.col("partkey")).alias("gene"))
     rows = X.frame(spark, d, "reads").join(hits, F.col("id") == F.col("h_id"), "left")
     return rows.groupBy("id").agg(F.coalesce(F.min("gene"), F.lit("non-transcriptome")).alias("annotation"), F.count("hit").alias("n_hits"))
+
+
+@query()
+def barcode_call(spark: SparkSession, d: str) -> DataFrame:
+    """Each read with its status, barcode and score."""
+    return calls.call(X.frame(spark, d, "reads"), barcode.checked_whitelist(X.frame(spark, d, "whitelist")))
+
+
+FOUND = "CASE WHEN id % 7 = 0 AND id % 11 = 0 THEN 'none' ELSE CASE WHEN strand = 0 THEN 'left' ELSE 'right' END END"
+
+
+@query(X.sql("reads") + f"SELECT {FOUND} AS side, count(*) AS n FROM reads GROUP BY 1")
+def read_sides(spark: SparkSession, d: str) -> DataFrame:
+    return calls.oriented(X.frame(spark, d, "reads")).groupBy("side").agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from helixframe.functions import codec as C
 from helixframe.functions import distance as D
 from helixframe.functions import interval as I
 from helixframe.functions import sequence as S
-from helixframe.operators import adapters, annotate, barcode, chimera, clones, regions
+from helixframe.operators import adapters, annotate, barcode, calls, chimera, clones, regions
 from helixframe.operators.chemistry import R1, TSO, reverse_complement
 
 
@@ -189,3 +189,19 @@ def test_matrix(spark):
     rows = spark.createDataFrame([("a", "1_X,2_X,3_Y"), ("b", "4_Y,")], "clone string, reads string")
     wide = clones.clone_matrix(clones.clone_reads(rows), ["a", "b"], spark.createDataFrame([("X",), ("Y",), ("Z",)], "barcode string"))
     assert {tuple(r) for r in wide.collect()} == {("X", 2, 0), ("Y", 1, 1), ("Z", 0, 0)}
+
+
+def test_call(spark):
+    rng = random.Random(8)
+    names = ["".join(rng.choice("ACGT") for _ in range(16)) for _ in range(12)]
+    white = spark.createDataFrame(list(enumerate(names)), "ordinal long, barcode string")
+    rows, want = [], {}
+    for i, b in enumerate(names):
+        used = b if i % 3 else b[:8] + ("A" if b[8] != "A" else "C") + b[9:]
+        seq = "GG" + R1 + used + "ACGTACGTAC" + TSO + "".join(rng.choice("CGT") for _ in range(150)) + "A" * (12 if i % 2 else 0)
+        rows.append((i, reverse_complement(seq) if i % 4 == 3 else seq))
+        want[i] = ("fine", b, 0 if i % 3 else 1, 0 if i % 3 else 20)
+    rows += [(50, "ACGT" * 60), (51, "ACGT"), (52, "GG" + R1 + "ACGT" * 40 + reverse_complement(R1) + "CC")]
+    got = {r.id: r for r in calls.call(spark.createDataFrame(rows, "id long, seq string"), white).collect()}
+    assert {i: (got[i].status, got[i].barcode, got[i].edits, got[i].score) for i in want} == want
+    assert (got[50].status, got[51].status, got[52].status) == ("ICS_R1_missing", "Read_too_short", "Dual_header")
