@@ -99,7 +99,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 #: For similarity: bits of shingles that are compared as a whole, and segments of 32 bits of word pairs in which candidates are looked up.
-WHOLE_WORDS, PAIR_SEGMENTS, SEGMENT_BITS = 4, 6, 32
+WHOLE_WORDS, PAIR_SEGMENTS, SEGMENT_BITS = 8, 6, 32
 
 
 def wide_print(text: bytes, width: int) -> np.ndarray:
@@ -160,7 +160,7 @@ def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
 def keep_one_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of similar ones, the one of smallest id, with all its columns.
 
-    Documents are similar if the Jaccard similarity of their shingle sets is so or more, as far as 256 bits tell (a standard deviation of about 0.05);
+    Documents are similar if the Jaccard similarity of their shingle sets is so or more, as far as 512 bits tell;
     candidates come from the bits of their word pairs, whose segments of 32 bits differ in 2 at most with a chance that grows with the similarity."""
     wide, row = fresh(docs, "wide_print_of_text"), fresh(docs, "row_of_text")
     rows = materialise(with_wide_print(docs, "text", wide, docs.columns, width).withColumn(row, F.monotonically_increasing_id()), "documents-with-prints")
