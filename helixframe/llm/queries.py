@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -91,4 +92,15 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {}
+CONTROL_SQL = "|".join(re.escape(c[0]) + r"\\*" + re.escape(c[1:]).replace("\\/", "/") for c in sorted(chat.CONTROL, key=len, reverse=True))
+ESCAPES_SQL = f"len(regexp_extract_all(role, '{CONTROL_SQL}')) + len(regexp_extract_all(text, '{CONTROL_SQL}'))"
+#: The other queries rest on vocabularies, XXH64, fitted models or approximate search, which SQL doesn't express; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op9_chat": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(length(role) + length(text) + {sum(map(len, chat.MARKS))} + {ESCAPES_SQL}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id""",
+    "op10_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), d AS (SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest, max(page_id) OVER (PARTITION BY payload) AS kept FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {warc.LEAST_BYTES} AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= {warc.LEAST_BYTES} AND page_id <> kept THEN kept END AS refers_to FROM d""",
+}
