@@ -21,9 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import fresh, light, materialise, texts, tidy, utf8
+from helixframe.llm.common import fresh, light, materialise, slices, texts, tidy, utf8
 from helixframe.llm.components import components
-from helixframe.llm.importance import mixed
 
 BITS, SEGMENTS, RADIUS = 64, 4, 2
 SEED = 42
@@ -98,78 +97,158 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return rows.join(by_print, F.col("fp") == F.col("p_fp")).select("doc_id", "fp", "component_id")
 
 
-#: For similarity: bits of shingles that are compared as a whole, and segments of 32 bits of word pairs in which candidates are looked up.
-WHOLE_WORDS, PAIR_SEGMENTS, SEGMENT_BITS = 8, 6, 32
+#: For similarity: classes in which shingles are counted for their order, members of each key that the others meet first, round by round, and members of a key in a block.
+CLASSES, LEADERS, BLOCK = 1 << 16, (1, 16), 1000
 
 
-def wide_print(text: bytes, width: int) -> np.ndarray:
-    """WHOLE_WORDS words of bits of the set of shingles, then those of the set of word pairs that PAIR_SEGMENTS take, as signed longs."""
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The different shingle hashes of a text in UTF-8, ascending."""
     words = text.lower().split()
-    out = []
-    for w, n in ((width, WHOLE_WORDS), (2, PAIR_SEGMENTS * SEGMENT_BITS // 64)):
-        found = np.unique(shingle_hashes(words, w)) if words else np.zeros(0, np.uint64)
-        votes = np.zeros(64 * n, np.int64)
-        for i in range(0, len(found), STEP // 16):
-            part = found[i : i + STEP // 16]
-            many = mixed(part[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            votes += np.unpackbits(many.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * votes > len(found)).view(np.int64))
-    return np.concatenate(out)
-
-
-def bits_for(similarity: float, spread: float = 0.6) -> int:
-    """Bits in which the whole fingerprints of sets of that Jaccard similarity differ, plus so many standard deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = 64 * WHOLE_WORDS
-    return round(n * p + spread * math.sqrt(n * p * (1 - p)))
-
-
-def with_wide_print(df: DataFrame, text_col: str, out: str, keep: list[str], width: int) -> DataFrame:
-    """keep, and the wide fingerprint as array<long>."""
+    return np.unique(shingle_hashes(words, width)) if words else np.zeros(0, np.uint64)
+
+
+def class_counts(df: DataFrame, text_col: str, width: int) -> np.ndarray:
+    """How many shingles of all sets lie in each class of hashes."""
+    light(df.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CLASSES, np.int64)
+        for b in slices(batches, 0):
+            found = np.concatenate([shingle_set(x, width) for x in utf8(b.column(0))])
+            n += np.bincount((found & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["class", "n"])
+
+    out = np.zeros(CLASSES, np.int64)
+    for r in df.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(tidy(run), "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # CLASSES rows at most
+        out[r["class"]] = r.n
+    return out
+
+
+def prefix(found: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndarray:
+    """The shingles of the rarest classes of a set, as many as two sets of that similarity can't both have without a common one."""
+    order = np.argsort(counts[(found & np.uint64(CLASSES - 1)).astype(np.int64)], kind="stable")
+    return found[order[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]]
+
+
+def with_prefix(df: DataFrame, text_col: str, out: str, keep: list[str], width: int, similarity: float, counts: np.ndarray) -> DataFrame:
+    """keep, and a struct of the set's digest, its size and its prefix, rarest first."""
     light(df.sparkSession)
     rows = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias(fresh(df, "text_of_shingles")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [wide_print(x, width) for x in utf8(b.column(b.num_columns - 1))]
-            size = WHOLE_WORDS + PAIR_SEGMENTS * SEGMENT_BITS // 64
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * size), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*keep, out])
-
-    fields = df.select(*(F.col(f"`{c}`") for c in keep)).withColumn(out, F.array().cast("array<long>")).schema
+            digests, sizes, keys = [], [], []
+            for x in utf8(b.column(b.num_columns - 1)):
+                found = shingle_set(x, width)
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                sizes.append(len(found))
+                keys.append(prefix(found, similarity, counts).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists(keys)], ["digest", "n", "keys"])], [*keep, out])
+
+    fields = df.select(*(F.col(f"`{c}`") for c in keep)).withColumn(out, F.lit(None).cast("struct<digest:binary,n:int,keys:array<long>>")).schema
     return rows.mapInArrow(tidy(run), fields)
 
 
-def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
-    """src, dst: pairs of fingerprints (id, prints) that share a key of a segment's ball and whose whole fingerprints are near enough.
+def lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
+
+
+def shingle_sets(rows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """id, hashes of each row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), lists([shingle_set(x, width).view(np.int64) for x in utf8(b.column(1))])], ["id", "hashes"])
+
+    return rows.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(tidy(run), "id long, hashes array<long>")
+
 
-    Each is compared with the least of its key and with the one before it."""
-    part = lambda s: F.shiftrightunsigned(F.get("prints", F.lit(WHOLE_WORDS + s // 2)), SEGMENT_BITS * (s % 2)).bitwiseAND(0xFFFFFFFF).bitwiseOR(s << SEGMENT_BITS)
-    segments = prints.select("id", F.explode(F.array(*map(part, range(PAIR_SEGMENTS)))).alias("segment"))
-    ball = F.array(F.col("segment"), *(F.col("segment").bitwiseXOR(F.lit(1 << i)) for i in range(SEGMENT_BITS)))
-    table = segments.select("id", F.explode(ball).alias("key"))
-    same = Window.partitionBy("key").orderBy("id")
-    found = table.select("id", F.first("id").over(same).alias("least"), F.lag("id").over(same).alias("before")).where("before is not null")
-    pairs = found.select(F.col("id").alias("src"), F.explode(F.array("least", "before")).alias("dst")).distinct()
-    a, b = prints.select(F.col("id").alias("a_id"), F.col("prints").alias("a")), prints.select(F.col("id").alias("b_id"), F.col("prints").alias("b"))
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs src, dst whose sets (id, hashes) have that Jaccard similarity or more."""
+    a, b = (sets.select(F.col("id").alias(f"{x}_id"), F.col("hashes").alias(x)) for x in "ab")
     both = pairs.join(a, F.col("src") == F.col("a_id")).join(b, F.col("dst") == F.col("b_id"))
-    far = sum((F.bit_count(F.get("a", F.lit(i)).bitwiseXOR(F.get("b", F.lit(i)))) for i in range(WHOLE_WORDS)), F.lit(0))
-    return both.where(far <= bits_for(similarity)).select("src", "dst")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.withColumn("shared", shared).where(F.col("shared") / (F.size("a") + F.size("b") - F.col("shared")) >= similarity).select("src", "dst")
+
+
+def able(a: str, b: str, similarity: float) -> F.Column:
+    """Whether two sets whose first common shingle has these places (at) among so many (n) can be similar enough."""
+    left = lambda x: F.col(f"{x}n") - F.col(f"{x}at")
+    return F.least(left(a), left(b)) >= similarity / (1 + similarity) * (F.col(f"{a}n") + F.col(f"{b}n")) - 1e-6
+
+
+def pair(a: str, b: str) -> list[F.Column]:
+    return [F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")]
+
+
+def labelled(table: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """table with the label of each id: of the keys that have more than one label."""
+    if labels is None:
+        named = table.withColumn("label", F.col("id"))
+    else:
+        named = table.join(labels, F.col("id") == F.col("node"), "left").select(*table.columns, F.coalesce("label", "id").alias("label"))
+    split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("key").alias("s_key"))
+    return named.join(split, F.col("key") == F.col("s_key"), "left_semi")
+
+
+def leader_pairs(table: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """Each member with some of each of its keys, others in each turn."""
+    h = F.xxhash64("id", F.lit(turn))
+    row = F.struct(h.alias("h"), "id", "n", "at", "label")
+    lead = table.groupBy("key", F.pmod(h, F.lit(LEADERS[turn])).alias("part")).agg(F.min(row).alias("l"))
+    lead = lead.select(F.col("key").alias("l_key"), *(F.col(f"l.{c}").alias(f"l_{c}") for c in ("id", "n", "at", "label")))
+    return table.join(lead, F.col("key") == F.col("l_key")).where((F.col("label") != F.col("l_label")) & able("", "l_", similarity)).select(*pair("id", "l_id")).distinct()
+
+
+def all_pairs(table: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """All members of each key with one another where their labels differ; large keys are cut into blocks, which meet two by two."""
+    sizes = table.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("key", "b_key")
+    own = table.join(sizes, F.col("key") == F.col("b_key")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "n", "at", "label")
+    other = met.select(*(F.col(c).alias(f"o_{c}") for c in met.columns))
+    same = (F.col("key") == F.col("o_key")) & (F.col("low") == F.col("o_low")) & (F.col("high") == F.col("o_high"))
+    once = F.when(F.col("low") == F.col("high"), F.col("id") < F.col("o_id")).otherwise(F.col("own") < F.col("o_own"))
+    return met.join(other, same & once & (F.col("label") != F.col("o_label")) & able("", "o_", similarity)).select(*pair("id", "o_id")).distinct()
+
+
+def similar_groups(table: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """node, label: the connected components of all similar pairs. table: key, id, n, at of the keys that more than one has.
+
+    Some rounds link members with a few of each key, so that groups of copies become one label; then all members of different labels are compared."""
+    found, labels = None, None
+    for turn in range(len(LEADERS) + 1):
+        left = labelled(table, labels)
+        pairs = leader_pairs(left, turn, similarity) if turn < len(LEADERS) else all_pairs(left, similarity)
+        new = materialise(similar(materialise(pairs, "similar-candidates"), sets, similarity), "similar-links")
+        if labels is None or not new.isEmpty():
+            found = new if found is None else found.union(new)
+            labels = materialise(components(found), "similar-labels")
+    return labels
 
 
 def keep_one_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of similar ones, the one of smallest id, with all its columns.
 
-    Documents are similar if the Jaccard similarity of their shingle sets is so or more, as far as 512 bits tell;
-    candidates come from the bits of their word pairs, whose segments of 32 bits differ in 2 at most with a chance that grows with the similarity."""
-    wide, row = fresh(docs, "wide_print_of_text"), fresh(docs, "row_of_text")
-    rows = materialise(with_wide_print(docs, "text", wide, docs.columns, width).withColumn(row, F.monotonically_increasing_id()), "documents-with-prints")
-    narrow = rows.select(F.col(f"`{wide}`").alias("prints"), F.col(f"`{row}`").alias("row"), F.col("doc_id").cast("long").alias("doc"))
+    Documents are similar if the Jaccard similarity of their sets of shingles is so or more; groups are the connected components. Exact, but for
+    equal 64-bit hashes of different shingles: similar sets share one of their rarest shingles (prefix filter), whose holders are compared in full."""
+    shape, row = fresh(docs, "shape_of_text"), fresh(docs, "row_of_text")
+    counts = class_counts(docs, "text", width)
+    rows = materialise(with_prefix(docs, "text", shape, docs.columns, width, similarity, counts).withColumn(row, F.monotonically_increasing_id()), "documents-with-prefixes")
+    narrow = rows.select(F.col(f"`{shape}`.digest").alias("digest"), F.col(f"`{row}`").alias("row"), F.col("doc_id").cast("long").alias("doc"))
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("first")
-    prints = materialise(narrow.groupBy("prints").agg(first).withColumn("id", F.col("first.row")), "wide-prints")
-    joined = components(materialise(similar_links(prints.select("id", "prints"), similarity), "similar-links"))
-    labelled = prints.select("id", "first").join(joined, F.col("id") == F.col("node"), "left")
-    chosen = labelled.groupBy(F.coalesce("label", "id").alias("l")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("kept_row"))
+    prints = materialise(narrow.groupBy("digest").agg(first).select(F.col("first.row").alias("id"), "first"), "shingle-sets")
+    shapes = rows.select(F.col(f"`{row}`").alias("id"), F.col(f"`{shape}`.n").alias("n"), F.col(f"`{shape}`.keys").alias("keys"))
+    table = shapes.join(prints.select("id"), "id", "left_semi").select("id", "n", F.posexplode("keys").alias("at", "key"))
+    shared = table.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("s_key"))
+    table = materialise(table.join(shared, F.col("key") == F.col("s_key"), "left_semi"), "shared-shingles")
+    some = rows.join(table.select(F.col("id").alias("s_id")).distinct(), F.col(f"`{row}`") == F.col("s_id"), "left_semi")
+    sets = materialise(shingle_sets(some, row, "text", width), "compared-sets")
+    joined = similar_groups(table, sets, similarity)
+    named = prints.join(joined, F.col("id") == F.col("node"), "left")
+    chosen = named.groupBy(F.coalesce("label", "id").alias("l")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("kept_row"))
     return rows.join(chosen, F.col(f"`{row}`") == F.col("kept_row"), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -185,6 +185,47 @@ def test_similar(spark):
     assert simhash.keep_one_similar(df.limit(0)).count() == 0
 
 
+def plain_similar(rows, width=5, similarity=0.8):
+    """The ids kept by comparing all pairs."""
+    sets = []
+    for r in rows:
+        words = r[1].lower().split()
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))})
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= similarity * len(a | sets[j]) - 1e-12:
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    return sorted({rows[top(i)][0] for i in range(len(rows))})
+
+
+def doc_rows(texts):
+    return [(i, t, "en", "s", "k") for i, t in enumerate(texts)]
+
+
+def test_similar_among_boilerplate(spark):
+    """Near copies whose ids lie among other pages of the same template."""
+    rng = random.Random(21)
+    shared = text(rng, 150)
+    pages = [shared + " " + text(rng, 120) for _ in range(120)]
+    copies = [" ".join(p.split()[:-25]) for p in pages]
+    rows = doc_rows(pages + copies)
+    want = plain_similar(rows)
+    assert want == list(range(120))
+    got = simhash.keep_one_similar(spark.createDataFrame(rows, DOC).repartition(3))
+    assert sorted(r.doc_id for r in got.collect()) == want
+    # All members of a key meet, in blocks of whatever size.
+    table = spark.createDataFrame([(7, i, 10, 0, i // 2) for i in range(23)], "key long, id long, n int, at int, label long")
+    pairs = {(r.src, r.dst) for r in simhash.all_pairs(table, 0.8, block=5).collect()}
+    assert pairs == {(i, j) for i in range(23) for j in range(i) if i // 2 != j // 2}
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, 200 + i) for i in range(1, 40)] + [(5, 5)]
