@@ -226,6 +226,24 @@ def test_similar_among_boilerplate(spark):
     assert pairs == {(i, j) for i in range(23) for j in range(i) if i // 2 != j // 2}
 
 
+def test_similar_after_whole_edits(spark):
+    """Truncated, appended and paragraph-exchanged copies of a similarity just over the threshold are all found, those just under it none."""
+    rng = random.Random(22)
+    pages, copies, others = [], [], []
+    for i in range(90):
+        words = text(rng, 240).split()
+        cut, add = text(rng, 26).split(), text(rng, 55).split()
+        pages.append(" ".join(words))
+        copies.append(" ".join([words[:-44], words + add, words[:100] + cut[:20] + words[120:]][i % 3]))
+        others.append(" ".join([words[:-60], words + add + cut, words[:100] + cut + cut[:9] + words[135:]][i % 3]) if i % 2 else text(rng, 80))
+    rows = doc_rows(pages + copies)
+    got = simhash.keep_one_similar(spark.createDataFrame(rows, DOC).repartition(3))
+    assert sorted(r.doc_id for r in got.collect()) == plain_similar(rows) == list(range(90))
+    rows = doc_rows(pages + others)
+    got = simhash.keep_one_similar(spark.createDataFrame(rows, DOC).repartition(3))
+    assert sorted(r.doc_id for r in got.collect()) == plain_similar(rows) == list(range(180))
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, 200 + i) for i in range(1, 40)] + [(5, 5)]
