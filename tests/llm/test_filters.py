@@ -244,6 +244,18 @@ def test_similar_after_whole_edits(spark):
     assert sorted(r.doc_id for r in got.collect()) == plain_similar(rows) == list(range(180))
 
 
+def test_similar_keeps_different_pages_of_a_template(spark):
+    """Pages of a template whose similarity is under the threshold are all kept, though many, and each has a near copy."""
+    rng = random.Random(23)
+    shared = text(rng, 260)
+    pages = [shared + " " + text(rng, 45) for _ in range(200)]
+    rows = doc_rows(pages + [p + " one more" for p in pages])
+    want = plain_similar(rows)
+    assert want == list(range(200))
+    got = simhash.keep_one_similar(spark.createDataFrame(rows, DOC).repartition(3))
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, 200 + i) for i in range(1, 40)] + [(5, 5)]
