@@ -27,6 +27,8 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 # re counts U+001C to U+001F as white space, the pattern above doesn't.
 RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f]")
+#: A text without longer runs of white space, or of anything else, than the library takes in its stride.
+SHORT_RUNS = re.compile(r"(?:[\S\x1c-\x1f]{1,999}+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]{1,999}+(?=[\S\x1c-\x1f]|\Z))*+")
 STORE = 400_000
 MEMO_BYTES = 48
 
@@ -244,7 +246,9 @@ class Bpe:
 
 
 class LibraryBpe(Bpe):
-    """The same ids, merged by a library, for operators that only need the ids; ranks: a file of the same vocabulary as ranks."""
+    """The same ids, merged by a library, for operators that only need the ids; ranks: a file of the same vocabulary as ranks.
+
+    The library's pattern runs out of stack on very long white space, and its merges are slow on very long words: such texts take the exact encoder."""
 
     def __init__(self, path: str, ranks: str):
         import tiktoken
@@ -254,11 +258,15 @@ class LibraryBpe(Bpe):
             table = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
         self.library = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=table, special_tokens=self.added)
 
+    @staticmethod
+    def usual(text: str) -> bool:
+        return SHORT_RUNS.match(text).end() == len(text)
+
     def packed(self, text: str) -> bytes:
-        return self.library.encode_to_numpy(text, allowed_special="all").astype(self.dtype).tobytes()
+        return self.library.encode_to_numpy(text, allowed_special="all").astype(self.dtype).tobytes() if self.usual(text) else super().packed(text)
 
     def packed_plain(self, text: str) -> bytes:
-        return np.array(self.library.encode_ordinary(text), self.dtype).tobytes()
+        return np.array(self.library.encode_ordinary(text), self.dtype).tobytes() if self.usual(text) else super().packed_plain(text)
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 
 from helixframe.llm import bpe
 from helixframe.llm.common import texts, tidy
-from helixframe.llm.tokens import encode_batches, list_parts
+from helixframe.llm.tokens import encode_batches, id_lists, list_parts
 
-SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
 #: Sequence ids of a task: its partition number, then a counter of this many bits, so that ids need no exchange.
 COUNTER_BITS = 33
 
@@ -65,7 +65,7 @@ def place(lengths: list[int], rooms: list[int], linear: float = 1.0, quadratic:
     return out
 
 
-def pack_batches(batches: Iterable[pa.RecordBatch], encoder: bpe.Bpe, end: int, length: int, window_tokens: int, linear: float, quadratic: float) -> Iterator[pa.RecordBatch]:
+def pack_batches(batches: Iterable[pa.RecordBatch], encoder: bpe.Bpe, end: int, length: int, window_tokens: int, linear: float, quadratic: float, crc: bool) -> Iterator[pa.RecordBatch]:
     base, done = TaskContext.get().partitionId() << COUNTER_BITS, 0
     waiting: list[tuple[int | None, int, np.ndarray, int]] = []  # id, start, ids from there, tokens of the document
     held = 0
@@ -82,8 +82,6 @@ def pack_batches(batches: Iterable[pa.RecordBatch], encoder: bpe.Bpe, end: int,
                 rest.append((doc, start + take, ids[take:], total))
         pieces = place([len(w[2]) for w in window], rooms, linear, quadratic)
         parts = [window[d][2][a : a + n] for d, a, n, _, _ in pieces]
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        values = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
         rows = [
             pa.array([window[p[0]][0] for p in pieces], pa.int64()),
             pa.array([window[p[0]][1] + p[1] for p in pieces], pa.int64()),
@@ -91,11 +89,11 @@ def pack_batches(batches: Iterable[pa.RecordBatch], encoder: bpe.Bpe, end: int,
             pa.array([window[p[0]][3] for p in pieces], pa.int64()),
             pa.array([base + done + p[3] for p in pieces], pa.int64()),
             pa.array([p[4] for p in pieces], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+            pa.array(map(crc32, parts), pa.int64()) if crc else id_lists(parts),
         ]
         done += len(rooms)
         waiting, held = rest, sum(len(r[2]) for r in rest)
-        return pa.RecordBatch.from_arrays(rows, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        return pa.RecordBatch.from_arrays(rows, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32" if crc else "ids"])
 
     for b in encode_batches(batches, encoder=encoder, end=end):
         column = b.column(b.schema.get_field_index("ids"))
@@ -108,20 +106,25 @@ def pack_batches(batches: Iterable[pa.RecordBatch], encoder: bpe.Bpe, end: int,
         yield flush([length] * (held // length) + powers(held % length))
 
 
-def pack(df: DataFrame, length: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, ranks: str | None = None, window_tokens: int = 1 << 20, linear: float = 1.0, quadratic: float = 1 / 1024) -> DataFrame:
-    """One row for each piece, with its ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
+def pack(df: DataFrame, length: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, ranks: str | None = None, window_tokens: int = 1 << 20, linear: float = 1.0, quadratic: float = 1 / 1024, crc: bool = False) -> DataFrame:
+    """One row for each piece, with its ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids; with crc, ids_crc32 in place of the ids."""
     rows = texts(df, id_col, text_col)
-    return rows.mapInArrow(tidy(lambda bs: pack_batches(bs, bpe.load_library(tokenizer, ranks), end, length, window_tokens, linear, quadratic)), SCHEMA)
+    schema = SCHEMA + ("ids_crc32 long" if crc else "ids array<int>")
+    return rows.mapInArrow(tidy(lambda bs: pack_batches(bs, bpe.load_library(tokenizer, ranks), end, length, window_tokens, linear, quadratic, crc)), schema)
+
+
+def crc32(ids: np.ndarray) -> int:
+    """Of ids as little-endian unsigned 32-bit integers."""
+    return zlib.crc32(np.ascontiguousarray(ids, "<i4").tobytes())
 
 
 def with_crc(df: DataFrame) -> DataFrame:
-    """In place of the ids, the crc32 of them as little-endian unsigned 32-bit integers."""
+    """In place of the ids, their crc32."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index("ids")
-            crc = [zlib.crc32(np.ascontiguousarray(x, "<i4").tobytes()) for x in list_parts(b.column(at))]
-            yield b.set_column(at, "ids_crc32", pa.array(crc, pa.int64()))
+            yield b.set_column(at, "ids_crc32", pa.array(map(crc32, list_parts(b.column(at))), pa.int64()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" if f.name != "ids" else "ids_crc32 long" for f in df.schema.fields)
     return df.mapInArrow(tidy(run), fields)

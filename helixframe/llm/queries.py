@@ -57,7 +57,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.with_crc(packing.pack(table(spark, sf_dir, "documents"), length=2048, end=1))
+    return packing.pack(table(spark, sf_dir, "documents"), length=2048, end=1, crc=True)
 
 
 def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:

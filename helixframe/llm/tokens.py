@@ -52,9 +52,13 @@ def decode_batches(batches: Iterable[pa.RecordBatch], ids: str = "ids", out: str
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", tokenizer: str | None = None) -> DataFrame:
     """Appends the ids of each text as array<int>. tokenizer: path of a byte-level BPE vocabulary file."""
+    if out.lower() in map(str.lower, df.columns):
+        raise ValueError(f"there is a column {out} already")
     return df.mapInArrow(tidy(lambda bs: encode_batches(bs, text, out, bpe.load(tokenizer))), appended(df, (out, IDS)))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", tokenizer: str | None = None) -> DataFrame:
     """Appends the text of each array of ids; bytes that aren't UTF-8 become U+FFFD. A null array gives an empty text."""
+    if out.lower() in map(str.lower, df.columns):
+        raise ValueError(f"there is a column {out} already")
     return df.mapInArrow(tidy(lambda bs: decode_batches(bs, ids, out, bpe.load(tokenizer))), appended(df, (out, T.StringType())))

@@ -34,6 +34,41 @@ def test_both_encoders_equal_the_library(library):
         assert own.decode_text(own.encode(t)) == library.decode(want, skip_special_tokens=False)
 
 
+LONG = {"blanks": " " * 2_000_000, "line breaks": "\n" * 2_000_000, "mixed": " \n" * 1_000_000, "tail": "a" + " \t" * 700_000 + "b", "word": "na" * 300_000, "marks": "#!" * 300_000}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_very_long_runs(library, name):
+    text = LONG[name]
+    want = library.encode(text, add_special_tokens=False).ids
+    own, fast = bpe.load(), bpe.load_library()
+    assert own.encode(text).tolist() == want and fast.encode(text).tolist() == want
+    assert np.frombuffer(fast.packed_plain(text), fast.dtype).tolist() == want
+    assert own.decode_text(own.encode(text)) == text
+
+
+def test_very_long_runs_in_operators(spark, library):
+    """Encoding, ORC, packing and chat on whole rows of 2 million blanks, line breaks and both."""
+    rows = [(i, t, "x") for i, t in enumerate(LONG.values())]
+    df = spark.createDataFrame(rows, DOC)
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t, _ in rows}
+    assert {r.doc_id: r.tokens for r in tokens.encode(df, out="tokens").collect()} == want
+    path = new_path(spark, "test-long")
+    token_orc.write_token_orc(df, path)
+    assert {r.doc_id: r.ids[:-1] for r in token_orc.read_token_orc(spark, path).collect()} == want
+    pieces = defaultdict(list)
+    for r in packing.pack(df).collect():
+        pieces[r.doc_id].append((r.start, r.ids))
+    assert {i: [x for _, ids in sorted(p) for x in ids][:-1] for i, p in pieces.items()} == want
+    got = chat.digests(chat.format_turns(df.selectExpr("doc_id conv_id", "0 turn", "'assistant' role", "text"))).collect()
+    assert {r.conv_id: r.loss_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t, _ in rows}
+
+
+def test_taken_name(spark):
+    with pytest.raises(ValueError, match="ids"):
+        tokens.encode(spark.createDataFrame([], DOC))
+
+
 def test_backtracking_of_long_pieces(library):
     own = bpe.load()
     for t in ("thethe" * 300, "tiontionhe" * 200, "aab" * 500):
@@ -84,20 +119,26 @@ def test_place():
     assert [(p[0], p[3]) for p in packing.place([6, 5, 3, 2], [8, 8])] == [(0, 0), (1, 1), (2, 1), (3, 0)]
 
 
-@pytest.mark.parametrize("rows", [[], [(1, None, "x")], [(i % 7, " ".join(["word"] * (i * 37 % 900)), "x") for i in range(60)] + [(None, "tail " * 6000, None)]])
+@pytest.mark.parametrize("rows", [[], [(1, None, "x")], [(i % 7, " ".join(["word"] * (i * 37 % 900)), "x") for i in range(60)] + [(None, "tail " * 6000, None)], [(i, " ".join(["some"] * (i * 53 % 1900)), "x") for i in range(40)]])
 def test_pack(spark, library, rows):
     got = packing.pack(spark.createDataFrame(rows, DOC).coalesce(1), window_tokens=4096).collect()
     want = sorted(tuple(library.encode(t or "", add_special_tokens=False).ids + [1]) for _, t, _ in rows)
     assert sum(r.length for r in got) == sum(map(len, want))
-    by_seq = defaultdict(list)
+    by_seq, by_doc = defaultdict(list), defaultdict(list)
     for r in got:
-        assert len(r.ids) == r.length
+        assert len(r.ids) == r.length and r.length > 0
         by_seq[r.sequence_id].append((r.offset, r.length))
-    for v in by_seq.values():
-        total = sum(n for _, n in v)
-        assert sorted(v)[0][0] == 0 and (total == 2048 or total & (total - 1) == 0)
-    whole = packing.with_crc(packing.pack(spark.createDataFrame(rows, DOC).coalesce(1), length=1 << 20, window_tokens=1 << 20)).collect()
-    assert {zlib.crc32(np.array(w, "<u4").tobytes()) for w in want} >= {r.ids_crc32 for r in whole if r.length == r.doc_tokens}
+        by_doc[r.doc_id].append((r.start, r.ids, r.doc_tokens))
+    for v in by_seq.values():  # gapless from 0, and full or a power of two
+        ends = [0, *(o + n for o, n in sorted(v))]
+        assert [o for o, _ in sorted(v)] == ends[:-1] and (ends[-1] == 2048 or ends[-1] & (ends[-1] - 1) == 0)
+    if len({r[0] for r in rows}) == len(rows):  # each id of a document in one piece, in order
+        for i, t, _ in rows:
+            ids = library.encode(t or "", add_special_tokens=False).ids + [1]
+            assert [x for _, p, _ in sorted(by_doc[i], key=lambda p: p[0]) for x in p] == ids and {n for _, _, n in by_doc[i]} == {len(ids)}
+    digests = packing.pack(spark.createDataFrame(rows, DOC).coalesce(1), window_tokens=4096, crc=True).collect()
+    key = lambda r: (r.sequence_id, r.offset)
+    assert [r.ids_crc32 for r in sorted(digests, key=key)] == [zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in sorted(got, key=key)]
 
 
 def test_token_orc(spark, library):
