@@ -1,10 +1,13 @@
 """Near duplicates by SimHash and multi-index hashing.
 
-A document's fingerprint has a bit for each bit that is set in over half of its shingles' hashes. Equal fingerprints are one; each different one is
-split into segments, and within each segment the Hamming ball of radius 1 is enumerated, the other segments unchanged. Every such key is looked up in
-one table: fingerprints within 2 bits of each other share a key at least, as one bit can be changed on either side, and those that share a key are
-within 2 bits. A key's fingerprints lie in a ball of radius 1 around it, so there are 65 at most, whatever the data: no bucket can grow, no pairs are
-listed; each is linked to the least of its key, and the full distance is verified. Groups are the connected components of these links.
+A document's fingerprint has a bit for each bit that is set in over half of its shingles' hashes. Equal fingerprints are one. Each different one is
+split into segments, and each segment is a table: a fingerprint stands there once, under the segment's bits. Fingerprints within RADIUS bits of each
+other differ in some segment by RADIUS / SEGMENTS bits at most, so each one enumerates the Hamming ball of that radius within each of its segments,
+fetches what the table has there, and verifies the complete distance. Groups are the connected components of these links.
+
+Few fingerprints share a segment's 32 bits by chance, but near copies may. A table entry with over HOT fingerprints is split by the other segments' bits:
+each fingerprint stands there under the ball of radius 1 around them, and is asked for by what is left of the distance. As two of an entry's part agree
+with its bits but for one, no part has more than BITS - BITS / SEGMENTS + 1 fingerprints, whatever the data, and no pair within RADIUS is lost.
 
 Null texts count as empty; texts without words have fingerprint zero. Repeated rows are members as often as they stand there. Null ids never name a
 group that has others. Extra columns pass through keep_one(). An empty table gives no rows."""
@@ -13,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import fresh, light, materialise, slices, texts, tidy, utf8
 from helixframe.llm.components import components
 
-BITS, SEGMENTS, RADIUS = 64, 4, 2
+BITS, SEGMENTS, RADIUS, HOT = 64, 2, 2, 512
 SEED = 42
 STEP = 1 << 16
 
@@ -65,19 +68,54 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, keep: list[str], wi
     return rows.mapInArrow(tidy(run), fields)
 
 
-def ball_keys(fp: str) -> F.Column:
-    """The fingerprint, and it with one bit of one segment changed: segment by segment, as signed longs."""
-    size = BITS // SEGMENTS
-    flips = [1 << (s * size + i) for s in range(SEGMENTS) for i in range(size)]
-    return F.array(F.col(fp), *(F.col(fp).bitwiseXOR(F.lit(x - (1 << 64) if x >> 63 else x)) for x in flips))
-
-
-def links(prints: DataFrame) -> DataFrame:
-    """src, dst: each fingerprint with the least of each of its keys. prints: different fingerprints fp."""
-    table = prints.select("fp", F.explode(ball_keys("fp")).alias("key"))
-    found = table.withColumn("least", F.min("fp").over(Window.partitionBy("key"))).where("fp <> least")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= RADIUS
-    return found.where(near).select(F.col("fp").alias("src"), F.col("least").alias("dst")).distinct()
+def signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
+def ball(mask: int, radius: int) -> F.Column:
+    """All changes of so many bits of the mask at most, as signed longs."""
+    bits = [1 << i for i in range(BITS) if mask >> i & 1]
+    return F.array(*(F.lit(signed(sum(c))).cast("long") for r in range(radius + 1) for c in combinations(bits, r)))
+
+
+def links(prints: DataFrame, segments: int = SEGMENTS, hot: int = HOT) -> DataFrame:
+    """src, dst: the pairs within RADIUS bits of each other, the larger first. prints: different fingerprints fp."""
+    size = BITS // segments
+    masks = [((1 << size) - 1) << (s * size) for s in range(segments)]
+    fp = F.col("fp")
+
+    def each(make):
+        frames = [make(s, m, prints.withColumn("segment", F.lit(s).cast("byte"))) for s, m in enumerate(masks)]
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.union(f)
+        return out
+
+    table = each(lambda s, m, p: p.select("fp", "segment", fp.bitwiseAND(F.lit(signed(m))).alias("key")))
+    probes = each(lambda s, m, p: p.select("fp", "segment", F.explode(ball(m, RADIUS // segments)).alias("e")).select("fp", "segment", fp.bitwiseAND(F.lit(signed(m))).bitwiseXOR(F.col("e")).alias("key"), F.bit_count("e").alias("d")))
+    full = materialise(table.groupBy("segment", "key").count().where(F.col("count") > hot).select("segment", "key"), "full-entries")
+    if full.isEmpty():
+        return fetched(table, probes, ["segment", "key"]).distinct()
+    place = ["segment", "key"]
+    found = fetched(table.join(full, place, "left_anti"), probes.join(full, place, "left_anti"), place)
+    table, probes = table.join(full, place, "left_semi"), probes.join(full, place, "left_semi")
+    for s, m in enumerate(masks):  # the other segments' bits: one may be changed on the table's side, what is left of the radius on the other
+        others = ((1 << BITS) - 1) ^ m
+        rest = fp.bitwiseAND(F.lit(signed(others)))
+        own = F.col("segment") == s
+        parts = table.where(own).withColumn("e", F.explode(ball(others, 1))).select("fp", "key", rest.bitwiseXOR(F.col("e")).alias("part"))
+        left = F.when(F.col("d") <= RADIUS - 2, ball(others, 1)).otherwise(ball(others, 0))
+        asked = probes.where(own).withColumn("e", F.explode(left)).select("fp", "key", rest.bitwiseXOR(F.col("e")).alias("part"))
+        found = found.union(fetched(parts, asked, ["key", "part"]))
+    return found.distinct()
+
+
+def fetched(table: DataFrame, probes: DataFrame, place: list[str]) -> DataFrame:
+    """src, dst: what probes (fp and place) find in the table, verified on all bits."""
+    there = table.select(F.col("fp").alias("dst"), *(F.col(c).alias(f"t_{c}") for c in place))
+    same = [F.col(c) == F.col(f"t_{c}") for c in place]
+    near = (F.col("fp") > F.col("dst")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("dst"))) <= RADIUS)
+    return probes.join(there, [*same, near]).select(F.col("fp").alias("src"), "dst")
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -234,7 +272,7 @@ def keep_one_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
 
     Documents are similar if the Jaccard similarity of their sets of shingles is so or more; groups are the connected components. Exact, but for
     equal 64-bit hashes of different shingles: similar sets share one of their rarest shingles (prefix filter), whose holders are compared in full."""
-    shape, row = fresh(docs, "shape_of_text"), fresh(docs, "row_of_text")
+    shape, row, kept = (fresh(docs, c) for c in ("shape_of_text", "row_of_text", "kept_row"))
     counts = class_counts(docs, "text", width)
     rows = materialise(with_prefix(docs, "text", shape, docs.columns, width, similarity, counts).withColumn(row, F.monotonically_increasing_id()), "documents-with-prefixes")
     narrow = rows.select(F.col(f"`{shape}`.digest").alias("digest"), F.col(f"`{row}`").alias("row"), F.col("doc_id").cast("long").alias("doc"))
@@ -248,17 +286,17 @@ def keep_one_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     sets = materialise(shingle_sets(some, row, "text", width), "compared-sets")
     joined = similar_groups(table, sets, similarity)
     named = prints.join(joined, F.col("id") == F.col("node"), "left")
-    chosen = named.groupBy(F.coalesce("label", "id").alias("l")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("kept_row"))
-    return rows.join(chosen, F.col(f"`{row}`") == F.col("kept_row"), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    chosen = named.groupBy(F.coalesce("label", "id").alias("l")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(kept))
+    return rows.join(chosen, F.col(f"`{row}`") == F.col(kept), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     """One document of each group, the one of smallest id, with all its columns."""
-    fp, row = fresh(docs, "fp_of_text"), fresh(docs, "row_of_text")
+    fp, row, kept = (fresh(docs, c) for c in ("fp_of_text", "row_of_text", "kept_row"))
     rows = materialise(with_fingerprint(docs, "text", fp, docs.columns, width).withColumn(row, F.monotonically_increasing_id()), "documents-with-fingerprints")
     narrow = rows.select(F.col(f"`{fp}`").alias("fp"), F.col(f"`{row}`").alias("row"), F.col("doc_id").cast("long").alias("id"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     least = narrow.groupBy("fp").agg(F.min(order).alias("first")).withColumnRenamed("fp", "r_fp")
     named = groups(narrow)
-    chosen = named.join(least, F.col("fp") == F.col("r_fp")).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("kept_row"))
-    return rows.join(chosen, F.col(f"`{row}`") == F.col("kept_row"), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    chosen = named.join(least, F.col("fp") == F.col("r_fp")).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias(kept))
+    return rows.join(chosen, F.col(f"`{row}`") == F.col(kept), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -11,7 +11,7 @@ import xxhash
 import corpus_pipeline
 from helixframe.llm import components, importance, packing, quality_rules, simhash
 
-DOC = "doc_id long, text string, lang string, source string, kept string"
+DOC = "doc_id long, text string, lang string, source string, kept_row string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYLLABLES = "the an on er ti in re ed st ly ha ou nd sh".split()
 
@@ -147,6 +147,20 @@ def test_fingerprints():
             assert simhash.fingerprint(t.encode(), width) == plain_print(t, width)
 
 
+@pytest.mark.parametrize("segments, hot", [(1, 512), (2, 512), (2, 3), (2, 0), (4, 512), (4, 5)])
+def test_links_of_all_segment_counts(spark, segments, hot):
+    """The same pairs as by comparing all, whether table entries are split or not."""
+    rng = random.Random(17)
+    prints = {0, (1 << 64) - 1, *(rng.getrandbits(64) for _ in range(40))}
+    for base in [*prints][:8]:
+        for _ in range(25):
+            prints.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 2, 3, 5]))))
+    wide = [x - (1 << 64) if x >> 63 else x for x in prints]
+    got = simhash.links(spark.createDataFrame([(x,) for x in wide], "fp long").repartition(3), segments, hot).collect()
+    want = {(max(a, b), min(a, b)) for i, a in enumerate(wide) for b in wide[:i] if bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
+    assert len(got) == len(want) > 100 and {(r.src, r.dst) for r in got} == want
+
+
 def test_near_duplicates(spark):
     rows = near_copies()
     df = spark.createDataFrame(rows, DOC)
