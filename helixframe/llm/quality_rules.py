@@ -3,7 +3,7 @@ r"""Quality rules: fixed limits on text statistics, then robust multivariate out
 A document's statistics become a vector of six transformed values. Per language and source the minimum covariance determinant gives the centre and
 spread of the three quarters of documents that lie closest together: groups are dealt into buckets of bounded size, concentration steps from several
 starts run within each, the bucket with the least determinant starts the group, and further concentration steps run over all rows of the group as
-DataFrame aggregations. The estimate is made consistent, reweighted once, and a document whose squared Mahalanobis distance lies beyond the cutoff is
+DataFrame aggregations; what is known of groups goes to all rows, so no group's rows meet in one task. The estimate is made consistent, reweighted once, and a document whose squared Mahalanobis distance lies beyond the cutoff is
 rejected. Documents that fail the fixed limits are rejected before and don't count in the fit.
 
 A small spread is added to each value's variance (SPREAD), as many statistics are the same in nearly all documents. Groups of fewer than LEAST rows
@@ -34,6 +34,7 @@ P = len(SPREAD)
 SUBSET = 0.75
 LEAST = 60
 BUCKET_ROWS = 4000
+BROADCAST = 20_000
 STARTS = 12
 STEPS = 3
 TAIL = 1e-10
@@ -170,6 +171,11 @@ def key_of(level: int, lang: Column, source: Column) -> Column:
     return F.concat(F.lit(f"{level}"), named(lang) if level < 2 else F.lit(""), F.lit("\x1f"), named(source) if level < 1 else F.lit(""))
 
 
+def small(groups: DataFrame) -> DataFrame:
+    """Rows of groups, to be sent to all rows of documents if there are BROADCAST at most (some hundred bytes each); joined by key if more."""
+    return F.broadcast(groups) if groups.limit(BROADCAST + 1).count() <= BROADCAST else groups
+
+
 SUMS = [(i, j) for i in range(P) for j in range(i, P)]
 MODEL = "key string, n long, mean array<double>, inverse array<double>"
 
@@ -204,25 +210,27 @@ def moments(rows: DataFrame, factor: float) -> DataFrame:
 
 def groups(stats: DataFrame) -> DataFrame:
     """lang, source, n, and the level whose estimate judges them: 0 their own, 1 the language's, 2 that of all, 3 none."""
-    one = stats.groupBy("lang", "source").agg(F.count(F.when(~F.col("failed"), 1)).alias("n"))
-    in_lang, in_all = F.sum("n").over(Window.partitionBy("lang")), F.sum("n").over(Window.partitionBy())
-    return one.withColumn("level", F.when(F.col("n") >= LEAST, 0).when(in_lang >= LEAST, 1).when(in_all >= LEAST, 2).otherwise(3))
+    one = materialise(stats.groupBy("lang", "source").agg(F.count(F.when(~F.col("failed"), 1)).alias("n")), "mcd-counts")
+    by_lang = one.groupBy(F.col("lang").alias("l_lang")).agg(F.sum("n").alias("in_lang"))
+    in_all = one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    level = F.when(F.col("n") >= LEAST, 0).when(F.col("in_lang") >= LEAST, 1).otherwise(2 if in_all >= LEAST else 3)
+    return one.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang"))).select("lang", "source", "n", level.alias("level"))
 
 
 def fit(stats: DataFrame) -> DataFrame:
     """lang, source, mean and inverse that judge each group; null where nothing can be fitted. stats: lang, source, failed, x0 to x5."""
     known = materialise(groups(stats), "mcd-groups")
-    named = known.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "level", "n")
+    named = small(known.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "level", "n"))
     wide = named.groupBy("g_lang").agg(F.max(F.col("level") == 1).alias("by_lang"))
     any_all = known.agg(F.max(F.col("level") == 2)).first()[0]
     rows = stats.where(~F.col("failed")).join(named, stats.lang.eqNullSafe(F.col("g_lang")) & stats.source.eqNullSafe(F.col("g_source")))
-    rows = rows.join(wide.select(F.col("g_lang").alias("w_lang"), "by_lang"), F.col("lang").eqNullSafe(F.col("w_lang")))
+    rows = rows.join(small(wide.select(F.col("g_lang").alias("w_lang"), "by_lang")), F.col("lang").eqNullSafe(F.col("w_lang")))
     lang, source = F.col("lang"), F.col("source")
     keys = F.array(F.when(F.col("level") == 0, key_of(0, lang, source)), F.when(F.col("by_lang"), key_of(1, lang, source)), F.when(F.lit(bool(any_all)), key_of(2, lang, source)))
     rows = materialise(rows.select(F.explode(F.array_compact(keys)).alias("key"), *(f"x{i}" for i in range(P))), "mcd-rows")
 
-    counts = rows.groupBy("key").count().withColumnRenamed("key", "c_key")
-    salted = rows.join(counts, F.col("key") == F.col("c_key")).withColumn(
+    counts = materialise(rows.groupBy("key").count().withColumnRenamed("key", "c_key"), "mcd-sizes")
+    salted = rows.join(small(counts), F.col("key") == F.col("c_key")).withColumn(
         "bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.ceil(F.col("count") / BUCKET_ROWS))
     )
 
@@ -237,7 +245,7 @@ def fit(stats: DataFrame) -> DataFrame:
     model = materialise(best.select("key", "m.*"), "mcd-start")
     x = [F.col(f"x{i}") for i in range(P)]
     for step in range(STEPS + 1):
-        at = rows.join(model.select(F.col("key").alias("m_key"), "mean", "inverse"), F.col("key") == F.col("m_key"))
+        at = rows.join(small(model.select(F.col("key").alias("m_key"), "mean", "inverse")), F.col("key") == F.col("m_key"))
         far = at.withColumn("far", distance(x, F.col("mean"), F.col("inverse")))
         if step == STEPS:  # reweighting
             near, factor = far.where(F.col("far") <= chi2_beyond(0.025, P)), consistency(0.975)
@@ -246,6 +254,7 @@ def fit(stats: DataFrame) -> DataFrame:
             w = Window.partitionBy("key").orderBy("bin")
             bins = far.groupBy("key", "bin").count().withColumns({"upto": F.sum("count").over(w), "n": F.sum("count").over(Window.partitionBy("key"))})
             last = bins.where(F.col("upto") >= F.col("n") * SUBSET).groupBy("key").agg(F.min("bin").alias("last")).withColumnRenamed("key", "l_key")
+            last = small(materialise(last, "mcd-last"))
             near, factor = far.join(last, (F.col("key") == F.col("l_key")) & (F.col("bin") <= F.col("last"))), consistency(SUBSET)
         model = materialise(moments(near.select("key", *x), factor), "mcd-step")
     chosen = F.element_at(F.array(*(key_of(i, lang, source) for i in range(3))), F.least(F.col("level"), F.lit(2)) + 1)
@@ -262,7 +271,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def judge(rows: DataFrame, model: DataFrame, tail: float = TAIL) -> DataFrame:
     """Appends mahalanobis (squared, null without an estimate) and kept to rows of measured()."""
-    m = model.select(F.col("lang").alias("m_lang"), F.col("source").alias("m_source"), "mean", "inverse")
+    m = small(model.select(F.col("lang").alias("m_lang"), F.col("source").alias("m_source"), "mean", "inverse"))
     both = rows.join(m, rows.lang.eqNullSafe(F.col("m_lang")) & rows.source.eqNullSafe(F.col("m_source")), "left")
     far = distance([F.col(f"x{i}") for i in range(P)], F.col("mean"), F.col("inverse"))
     out = both.withColumn("mahalanobis", far).drop("m_lang", "m_source", "mean", "inverse")
@@ -283,7 +292,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     rows = with_stats(docs, "text", s, docs.columns)
     m = model.toDF("m_lang_", "m_source_", "m_mean_", "m_inverse_")
     names = {c: fresh(docs, c) for c in m.columns}
-    m = m.toDF(*names.values())
+    m = small(m.toDF(*names.values()))
     lang, source, mean, inverse = (F.col(f"`{c}`") for c in m.columns)
     both = rows.join(m, F.col("lang").cast("string").eqNullSafe(lang) & F.col("source").cast("string").eqNullSafe(source), "left")
     far = F.coalesce(distance(vector(s), mean, inverse), F.lit(0.0))
