@@ -2,12 +2,11 @@
 
 Two generative models over hashed word n-grams (one word and two), one of the wanted text and one of all text, give each document a log weight: the
 mean log ratio of its n-grams, as for a text of NORMAL of them, so that the length of a text doesn't decide. A Gumbel variate of the document's id is added, and the k largest sums are a sample without replacement in proportion to
-the weights. k is the share of wanted documents among the labelled ones, times the number of documents. temperature scales the noise: 1 is plain
+the weights. Wanted are the labelled documents of quality 1 that aren't toxic; k is their share of the labelled ones, times the number of documents. temperature scales the noise: 1 is plain
 sampling, less comes closer to taking the largest weights.
 
-The raw model counts all documents. The target model counts the documents of at most TARGET_ROWS labelled rows (those of smallest hash) with quality 1
-and toxic 0. Null texts count as empty and have weight 0; null ids share one variate. Repeated rows have equal sums and are kept or rejected together:
-all rows whose sum is at least the k-th largest are kept. Without labels all is kept. Extra columns pass through filter(). An empty table gives no rows."""
+The raw model counts all documents. The target model counts the wanted documents of at most target_rows labelled rows (those of smallest hash). Null texts count as empty and have weight 0; null ids share one variate. Repeated rows have equal sums and are kept or rejected together:
+all rows whose sum is at least the k-th largest are kept. Without labels, or without a wanted one, there is no target model and all is kept. Extra columns pass through filter(). An empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -71,12 +70,13 @@ def count_batches(batches: Iterable[pa.RecordBatch], wanted: np.ndarray) -> Iter
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> tuple[np.ndarray, float]:
     """The log ratio of each bucket, and the share of wanted documents."""
     known = labels.where("doc_id is not null and quality is not null")
-    share = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    some = known.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h"))
-    wanted = np.sort(np.array([r[0] for r in some.orderBy("h", "doc_id").limit(TARGET_ROWS).collect()], np.int64))
+    is_wanted = F.expr("quality = 1 and coalesce(toxic, 0) = 0")
+    share = known.agg(F.avg(is_wanted.cast("double"))).first()[0]
+    some = known.where(is_wanted).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h"))
+    wanted = np.sort(np.array([r[0] for r in some.orderBy("h", "doc_id").limit(target_rows).collect()], np.int64))
     counts = texts(docs).mapInArrow(tidy(lambda bs: count_batches(bs, wanted)), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.full(BUCKETS, SMOOTH), np.full(BUCKETS, SMOOTH)
     for r in counts.collect():  # BUCKETS rows at most
@@ -135,17 +135,17 @@ def scored(docs: DataFrame, ratio: np.ndarray, temperature: float) -> DataFrame:
     return texts(docs).mapInArrow(tidy(run), "doc_id long, log_weight double, key double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, target_rows: int = TARGET_ROWS) -> DataFrame:
     """doc_id, log_weight, key (log weight plus noise) and kept of each document."""
-    ratio, share = fit(docs, labels)
+    ratio, share = fit(docs, labels, target_rows)
     rows = materialise(scored(docs, ratio, temperature), "importance")
     least = cutoff(rows, share)
     return rows.withColumn("kept", F.lit(True) if least is None else F.col("key") >= least)
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
+def filter_documents(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, target_rows: int = TARGET_ROWS) -> DataFrame:
     """The documents of the sample, with all their columns."""
-    ratio, share = fit(docs, labels)
+    ratio, share = fit(docs, labels, target_rows)
     least = cutoff(materialise(scored(docs, ratio, temperature).select("key"), "importance"), share)
     if least is None:
         return docs
