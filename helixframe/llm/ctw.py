@@ -7,7 +7,7 @@ The tree is fixed after training, so a byte's probability depends on the DEPTH b
 is therefore one count for each run of DEPTH + 1 bytes, and it grows with the corpus.
 
 Texts are written as blocks of what one task reads. A block asks for its different runs and words, with their training counts; these are summed over
-all blocks, valued, and sent back to the blocks that asked. Nothing is broadcast or gathered in one place but the counts of the three shallowest
+all blocks (partially where they are read), valued, and sent back to the blocks that asked. Nothing is broadcast or gathered in one place but the counts of the three shallowest
 contexts, whose number is bounded by the alphabet. The tree below each context of three bytes is built in one step; it has 256 ** (DEPTH - 2) runs at
 most, whatever the corpus.
 
@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import free, materialise, texts, tidy, utf8
@@ -372,11 +372,12 @@ def score(docs: DataFrame) -> DataFrame:
     answers = asked.join(values, F.col("run") == F.col("v_run")).select("block", F.col("run").alias("number"), "value", none)
     by_byte = materialise(beside(answers, blocks).mapInArrow(tidy(score_bytes), BYTE_SCORES), "ctw-byte-scores")
     free(spark)
-    same = Window.partitionBy("word")
-    counted = blocks.mapInArrow(tidy(count_words), "block long, word binary, n long").select("block", "word", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
-    counted = materialise(counted, "ctw-words")
-    total = counted.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    words = materialise(blocks.mapInArrow(tidy(count_words), "block long, word binary, n long"), "ctw-words")
+    worth = materialise(words.groupBy("word").agg(F.sum("n").alias("c")).withColumnRenamed("word", "w_word"), "ctw-word-counts")
+    total = worth.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     free(spark)
+    # A common run or word stands in every block: Spark splits such a key's rows where they are joined with its one value.
+    counted = words.join(worth, F.col("word") == F.col("w_word"))
     answers = counted.select("block", F.lit(None).cast("long").alias("number"), F.col("c").cast("double").alias("value"), F.col("word").alias("data"))
     by_word = beside(answers, blocks).mapInArrow(tidy(score_words(total[0], total[1])), WORD_SCORES)
     rows = by_byte.join(by_word, ["block", "piece", "place"]).drop("block", "piece", "place")
