@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import fresh, light, materialise, slices, texts, tidy, utf8
+from helixframe.llm.common import free, fresh, light, materialise, slices, texts, tidy, utf8
 from helixframe.llm.components import components
 
 BITS, SEGMENTS, RADIUS, HOT = 64, 2, 2, 512
@@ -137,6 +137,9 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 #: For similarity: classes in which shingles are counted for their order, members of each key that the others meet first, round by round, and members of a key in a block.
 CLASSES, LEADERS, BLOCK = 1 << 16, (1, 16), 1000
+#: Words of a wide fingerprint, and the bits by which two may differ that are compared in full. Sets with a similarity of 0.8 differ in 39 of 256 bits, with a standard
+#: deviation of 6, and in 48 if they are very small; 96 is beyond seven deviations.
+WIDE, FAR = 4, 96
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -169,42 +172,61 @@ def prefix(found: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndarr
     return found[order[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]]
 
 
+def wide_print(found: np.ndarray) -> list[int]:
+    """WIDE words of fingerprint of a set, as signed longs."""
+    out = []
+    for k in range(WIDE):
+        votes = np.zeros(BITS, np.int64)
+        for i in range(0, len(found), STEP):
+            part = found[i : i + STEP]
+            part = (part ^ (part >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k) if k else part
+            votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(signed(int.from_bytes(np.packbits(2 * votes > len(found)).tobytes(), "big")))
+    return out
+
+
+SHAPE = "struct<digest:binary,n:int,keys:array<long>,print:array<long>,hashes:array<int>>"
+
+
 def with_prefix(df: DataFrame, text_col: str, out: str, keep: list[str], width: int, similarity: float, counts: np.ndarray) -> DataFrame:
-    """keep, and a struct of the set's digest, its size and its prefix, rarest first."""
+    """keep, and a struct of the set's digest, its size, its prefix (rarest first), its wide fingerprint and 32 bits of each of its hashes."""
     light(df.sparkSession)
     rows = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias(fresh(df, "text_of_shingles")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            digests, sizes, keys = [], [], []
-            for x in utf8(b.column(b.num_columns - 1)):
-                found = shingle_set(x, width)
-                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                sizes.append(len(found))
-                keys.append(prefix(found, similarity, counts).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists(keys)], ["digest", "n", "keys"])], [*keep, out])
-
-    fields = df.select(*(F.col(f"`{c}`") for c in keep)).withColumn(out, F.lit(None).cast("struct<digest:binary,n:int,keys:array<long>>")).schema
+        for b in slices(batches, rows_text):
+            sets = [shingle_set(x, width) for x in utf8(b.column(rows_text))]
+            shape = [
+                pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
+                pa.array([len(x) for x in sets], pa.int32()),
+                lists([prefix(x, similarity, counts).view(np.int64) for x in sets]),
+                pa.array([wide_print(x) for x in sets], pa.list_(pa.int64())),
+                lists([np.unique((x >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in sets], np.int32),
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.StructArray.from_arrays(shape, ["digest", "n", "keys", "print", "hashes"])], [*keep, out])
+
+    rows_text = len(keep)
+    fields = df.select(*(F.col(f"`{c}`") for c in keep)).withColumn(out, F.lit(None).cast(SHAPE)).schema
     return rows.mapInArrow(tidy(run), fields)
 
 
-def lists(values: list[np.ndarray]) -> pa.ListArray:
+def lists(values: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
-
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, kind)))
 
-def shingle_sets(rows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id, hashes of each row."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), lists([shingle_set(x, width).view(np.int64) for x in utf8(b.column(1))])], ["id", "hashes"])
-
-    return rows.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(tidy(run), "id long, hashes array<long>")
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs src, dst whose wide fingerprints (id, print) are near enough for similar sets."""
+    a, b = (sets.select(F.col("id").alias(f"{x}_id"), F.col("print").alias(x)) for x in "ab")
+    both = pairs.join(a, F.col("src") == F.col("a_id")).join(b, F.col("dst") == F.col("b_id"))
+    bits = sum(F.bit_count(F.col("a")[k].bitwiseXOR(F.col("b")[k])) for k in range(WIDE))
+    return both.where(bits <= FAR).select("src", "dst")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs src, dst whose sets (id, hashes) have that Jaccard similarity or more."""
+    """Those of the pairs src, dst whose sets (id, hashes) have that Jaccard similarity or more. Only sets that are in a pair move."""
+    used = pairs.select(F.explode(F.array("src", "dst")).alias("u_id")).distinct()
+    sets = sets.join(used, F.col("id") == F.col("u_id"), "left_semi")
     a, b = (sets.select(F.col("id").alias(f"{x}_id"), F.col("hashes").alias(x)) for x in "ab")
     both = pairs.join(a, F.col("src") == F.col("a_id")).join(b, F.col("dst") == F.col("b_id"))
     shared = F.size(F.array_intersect("a", "b"))
@@ -253,14 +275,16 @@ def all_pairs(table: DataFrame, similarity: float, block: int = BLOCK) -> DataFr
 
 
 def similar_groups(table: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """node, label: the connected components of all similar pairs. table: key, id, n, at of the keys that more than one has.
+    """node, label: the connected components of all similar pairs. table: key, id, n, at of the keys that more than one has; sets: id, print, hashes.
 
     Some rounds link members with a few of each key, so that groups of copies become one label; then all members of different labels are compared."""
     found, labels = None, None
     for turn in range(len(LEADERS) + 1):
         left = labelled(table, labels)
         pairs = leader_pairs(left, turn, similarity) if turn < len(LEADERS) else all_pairs(left, similarity)
-        new = materialise(similar(materialise(pairs, "similar-candidates"), sets, similarity), "similar-links")
+        near = materialise(alike(pairs, sets), "similar-candidates")
+        new = materialise(similar(near, sets, similarity), "similar-links")
+        free(table.sparkSession)
         if labels is None or not new.isEmpty():
             found = new if found is None else found.union(new)
             labels = materialise(components(found), "similar-labels")
@@ -271,7 +295,9 @@ def keep_one_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     """One document of each group of similar ones, the one of smallest id, with all its columns.
 
     Documents are similar if the Jaccard similarity of their sets of shingles is so or more; groups are the connected components. Exact, but for
-    equal 64-bit hashes of different shingles: similar sets share one of their rarest shingles (prefix filter), whose holders are compared in full."""
+    equal hashes of different shingles and fingerprints that differ by seven deviations: similar sets share one of their rarest shingles (prefix filter),
+    whose holders verify the complete distance of their wide fingerprints first, then their sets. Hamming balls can't find such pairs: sets with a
+    similarity of 0.8 differ in 10 of 64 bits, and balls of that radius hold more fingerprints than there are documents."""
     shape, row, kept = (fresh(docs, c) for c in ("shape_of_text", "row_of_text", "kept_row"))
     counts = class_counts(docs, "text", width)
     rows = materialise(with_prefix(docs, "text", shape, docs.columns, width, similarity, counts).withColumn(row, F.monotonically_increasing_id()), "documents-with-prefixes")
@@ -282,8 +308,7 @@ def keep_one_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     table = shapes.join(prints.select("id"), "id", "left_semi").select("id", "n", F.posexplode("keys").alias("at", "key"))
     shared = table.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("s_key"))
     table = materialise(table.join(shared, F.col("key") == F.col("s_key"), "left_semi"), "shared-shingles")
-    some = rows.join(table.select(F.col("id").alias("s_id")).distinct(), F.col(f"`{row}`") == F.col("s_id"), "left_semi")
-    sets = materialise(shingle_sets(some, row, "text", width), "compared-sets")
+    sets = rows.select(F.col(f"`{row}`").alias("id"), F.col(f"`{shape}`.print").alias("print"), F.col(f"`{shape}`.hashes").alias("hashes"))
     joined = similar_groups(table, sets, similarity)
     named = prints.join(joined, F.col("id") == F.col("node"), "left")
     chosen = named.groupBy(F.coalesce("label", "id").alias("l")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(kept))
