@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,9 +16,12 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests, where that is unset, a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and the executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -45,7 +49,9 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def light(spark: SparkSession) -> None:
-    """Texts are long: unless the session asks for another number than the default, batches to Python hold 2000 rows."""
+    """Texts are long: unless the session asks for another number than the default, batches to Python hold 2000 rows.
+
+    Spark's limit on a batch's bytes (64 MB by default) holds besides, so a batch is that large at most, or one row."""
     if spark.conf.get(BATCH_ROWS, "10000") == "10000":
         spark.conf.set(BATCH_ROWS, "2000")
 
