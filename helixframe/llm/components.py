@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import materialise
+from helixframe.llm.common import discard, materialise
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,13 +23,16 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, label: every node that has an edge, and the least node of its component. edges: src, dst, two numbers each.
+    """node, label: every node that has an edge, and the least node of its component. edges: src, dst, two numbers each; rows with a null are left out, and no
+    edges give no rows.
 
     The rounds needed grow with the logarithm of the largest component's diameter."""
     now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
     state = None
     for _ in range(rounds):
-        now = materialise(star(star(now, large=True), large=False), "component-round")
+        before, now = now, materialise(star(star(now, large=True), large=False), "component-round")
+        if state is not None:
+            discard(before)
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
         if mark == state:
             break

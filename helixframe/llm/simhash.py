@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import free, fresh, light, materialise, slices, texts, tidy, utf8
+from helixframe.llm.common import discard, free, fresh, light, materialise, slices, texts, tidy, utf8
 from helixframe.llm.components import components
 
 BITS, SEGMENTS, RADIUS, HOT = 64, 2, 2, 512
@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 #: For similarity: classes in which shingles are counted for their order, members of each key that the others meet first, round by round, and members of a key in a block.
-CLASSES, LEADERS, BLOCK = 1 << 16, (1, 16), 1000
+CLASSES, LEADERS, BLOCK = 1 << 16, (1, 4, 32), 1000
 #: Words of a wide fingerprint, and the bits by which two may differ that are compared in full. Sets with a similarity of 0.8 differ in 39 of 256 bits, with a standard
 #: deviation of 6, and in 48 if they are very small; 96 is beyond seven deviations.
 WIDE, FAR = 4, 96
@@ -185,7 +185,12 @@ def wide_print(found: np.ndarray) -> list[int]:
     return out
 
 
-SHAPE = "struct<digest:binary,n:int,keys:array<long>,print:array<long>,hashes:array<int>>"
+def half(hashes: np.ndarray) -> np.ndarray:
+    """Their upper 32 bits."""
+    return (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+SHAPE = "struct<digest:binary,n:int,keys:array<int>,print:array<long>,hashes:array<int>>"
 
 
 def with_prefix(df: DataFrame, text_col: str, out: str, keep: list[str], width: int, similarity: float, counts: np.ndarray) -> DataFrame:
@@ -199,9 +204,9 @@ def with_prefix(df: DataFrame, text_col: str, out: str, keep: list[str], width:
             shape = [
                 pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
                 pa.array([len(x) for x in sets], pa.int32()),
-                lists([prefix(x, similarity, counts).view(np.int64) for x in sets]),
+                lists([half(prefix(x, similarity, counts)) for x in sets], np.int32),
                 pa.array([wide_print(x) for x in sets], pa.list_(pa.int64())),
-                lists([np.unique((x >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in sets], np.int32),
+                lists([np.unique(half(x)) for x in sets], np.int32),
             ]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.StructArray.from_arrays(shape, ["digest", "n", "keys", "print", "hashes"])], [*keep, out])
 
@@ -243,23 +248,32 @@ def pair(a: str, b: str) -> list[F.Column]:
     return [F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")]
 
 
-def labelled(table: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """table with the label of each id: of the keys that have more than one label."""
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """key, id, n, at, label of each shared shingle of rows (id, n, shared: array<struct<at, key>>)."""
     if labels is None:
-        named = table.withColumn("label", F.col("id"))
+        named = rows.withColumn("label", F.col("id"))
     else:
-        named = table.join(labels, F.col("id") == F.col("node"), "left").select(*table.columns, F.coalesce("label", "id").alias("label"))
-    split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("key").alias("s_key"))
-    return named.join(split, F.col("key") == F.col("s_key"), "left_semi")
+        named = rows.join(labels, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id"))
+    return named.select("id", "n", "label", F.explode("shared").alias("s")).select("s.key", "id", "n", "s.at", "label")
+
+
+def divided(table: DataFrame) -> DataFrame:
+    """Of the keys that have more than one label."""
+    split = table.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(F.col("key").alias("s_key"))
+    return table.join(split, F.col("key") == F.col("s_key"), "left_semi")
 
 
 def leader_pairs(table: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """Each member with some of each of its keys, others in each turn."""
+    """Each member with some of each of its keys, others in each turn; in the first turn only with the one that most of its keys name."""
     h = F.xxhash64("id", F.lit(turn))
     row = F.struct(h.alias("h"), "id", "n", "at", "label")
     lead = table.groupBy("key", F.pmod(h, F.lit(LEADERS[turn])).alias("part")).agg(F.min(row).alias("l"))
     lead = lead.select(F.col("key").alias("l_key"), *(F.col(f"l.{c}").alias(f"l_{c}") for c in ("id", "n", "at", "label")))
-    return table.join(lead, F.col("key") == F.col("l_key")).where((F.col("label") != F.col("l_label")) & able("", "l_", similarity)).select(*pair("id", "l_id")).distinct()
+    met = table.join(lead, F.col("key") == F.col("l_key")).where((F.col("label") != F.col("l_label")) & able("", "l_", similarity))
+    if turn == 0:
+        often = met.groupBy("id", "l_id").agg(F.count("*").alias("often"))
+        met = often.groupBy("id").agg(F.max(F.struct("often", "l_id")).alias("m")).select("id", F.col("m.l_id").alias("l_id"))
+    return met.select(*pair("id", "l_id")).distinct()
 
 
 def all_pairs(table: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
@@ -274,20 +288,23 @@ def all_pairs(table: DataFrame, similarity: float, block: int = BLOCK) -> DataFr
     return met.join(other, same & once & (F.col("label") != F.col("o_label")) & able("", "o_", similarity)).select(*pair("id", "o_id")).distinct()
 
 
-def similar_groups(table: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """node, label: the connected components of all similar pairs. table: key, id, n, at of the keys that more than one has; sets: id, print, hashes.
+def similar_groups(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """node, label: the connected components of all similar pairs. rows: id, n, shared (array<struct<at, key>>); sets: id, print, hashes.
 
     Some rounds link members with a few of each key, so that groups of copies become one label; then all members of different labels are compared."""
     found, labels = None, None
     for turn in range(len(LEADERS) + 1):
-        left = labelled(table, labels)
-        pairs = leader_pairs(left, turn, similarity) if turn < len(LEADERS) else all_pairs(left, similarity)
+        table = labelled(rows, labels)
+        pairs = leader_pairs(table, turn, similarity) if turn < len(LEADERS) else all_pairs(divided(table), similarity)
         near = materialise(alike(pairs, sets), "similar-candidates")
+        free(rows.sparkSession)
         new = materialise(similar(near, sets, similarity), "similar-links")
-        free(table.sparkSession)
+        discard(near)
         if labels is None or not new.isEmpty():
             found = new if found is None else found.union(new)
-            labels = materialise(components(found), "similar-labels")
+            before, labels = labels, materialise(components(found), "similar-labels")
+            discard(before)
+        free(rows.sparkSession)
     return labels
 
 
@@ -306,10 +323,13 @@ def keep_one_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     prints = materialise(narrow.groupBy("digest").agg(first).select(F.col("first.row").alias("id"), "first"), "shingle-sets")
     shapes = rows.select(F.col(f"`{row}`").alias("id"), F.col(f"`{shape}`.n").alias("n"), F.col(f"`{shape}`.keys").alias("keys"))
     table = shapes.join(prints.select("id"), "id", "left_semi").select("id", "n", F.posexplode("keys").alias("at", "key"))
-    shared = table.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("s_key"))
-    table = materialise(table.join(shared, F.col("key") == F.col("s_key"), "left_semi"), "shared-shingles")
+    several = table.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("s_key"))
+    held = table.join(several, F.col("key") == F.col("s_key"), "left_semi").groupBy("id", "n").agg(F.collect_list(F.struct("at", "key")).alias("shared"))
+    held = materialise(held, "shared-shingles")
+    free(docs.sparkSession)
     sets = rows.select(F.col(f"`{row}`").alias("id"), F.col(f"`{shape}`.print").alias("print"), F.col(f"`{shape}`.hashes").alias("hashes"))
-    joined = similar_groups(table, sets, similarity)
+    joined = similar_groups(held, sets, similarity)
+    discard(held)
     named = prints.join(joined, F.col("id") == F.col("node"), "left")
     chosen = named.groupBy(F.coalesce("label", "id").alias("l")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(kept))
     return rows.join(chosen, F.col(f"`{row}`") == F.col(kept), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
