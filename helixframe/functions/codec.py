@@ -31,6 +31,36 @@ def regions(text: Column) -> Column:
     return F.transform(parts, lambda x: F.struct(F.split(x, "-")[0].cast("int").alias("start"), F.split(x, "-")[1].cast("int").alias("end")))
 
 
+def signed_regions(text: Column) -> Column:
+    """regions() of the layout that separates by semicolons; "-1--1" (nothing is free) and the missing mark give an empty array."""
+    return regions(F.regexp_replace(text, ";", ","))
+
+
+def coverages(text: Column) -> Column:
+    """array<double>; negative ones are 0."""
+    return F.transform(tokens(text, ","), lambda x: F.greatest(x.try_cast("double"), F.lit(0.0)))
+
+
+def integers(text: Column) -> Column:
+    """array<int>; also of the spliced flags."""
+    return F.transform(tokens(text, ","), lambda x: x.try_cast("int"))
+
+
+def hit_groups(text: Column) -> Column:
+    """array<array<int>>: the groups of overlapping hits, groups apart by semicolons; the missing mark gives none."""
+    return F.when(text == MISSING, F.array().cast("array<array<int>>")).otherwise(F.transform(tokens(text, ";"), integers))
+
+
+def hit_groups_text(groups: Column) -> Column:
+    return joined(F.transform(groups, lambda g: F.array_join(F.transform(g, lambda x: x.cast("string")), ",")), ";")
+
+
+def adapter_text(hits: Column) -> Column:
+    """places:strands:edits of array<struct<pos, strand, dist>>, each a list; the missing mark for none."""
+    lists = [F.array_join(F.transform(hits, f), ",") for f in (lambda h: h["pos"].cast("string"), lambda h: strand_text(h["strand"]), lambda h: h["dist"].cast("string"))]
+    return F.when(F.size(hits) == 0, F.lit(MISSING)).otherwise(F.concat_ws(":", *lists))
+
+
 STRANDS = {0: "forward", 1: "reversed", 2: "complement", 3: "reverse", -1: MISSING}
 
 

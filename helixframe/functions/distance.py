@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from helixframe.functions.sequence import kmers
+from helixframe.functions import kernels
 
 FAR = 99
 
@@ -36,19 +37,15 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def best_place(query: str, subject: Column, k: int, first_exact: bool = False) -> Column:
-    """struct<pos, dist> of the window of subject that is closest to query within k edits, the last of equal ones; with first_exact the first exact one.
+    """struct<pos, dist> of the window of subject that is closest to query within k edits, the ends free, the last of equal ones; with first_exact the
+    first exact one. Null fields where no window is within k."""
 
-    Null where no window is within k."""
-    at = F.transform(kmers(subject, len(query)), lambda w: F.struct(w["pos"].alias("pos"), F.levenshtein(w["kmer"], F.lit(query), k).alias("dist")))
-    start = F.struct(F.lit(None).cast("int").alias("pos"), F.lit(k).alias("dist"))
+    @F.pandas_udf("pos int, dist int")
+    def run(s: pd.Series) -> pd.DataFrame:
+        pos, dist = kernels.places([x if isinstance(x, str) else None for x in s], query, k, first_exact)
+        return pd.DataFrame({"pos": pd.arrays.IntegerArray(pos, pos == 0), "dist": pd.arrays.IntegerArray(dist, pos == 0)})
 
-    def closer(best: Column, x: Column) -> Column:
-        better = (x["dist"] >= 0) & (x["dist"] <= best["dist"])
-        if first_exact:
-            better = better & (best["pos"].isNull() | (best["dist"] > 0))
-        return F.when(better, x).otherwise(best)
-
-    return F.aggregate(at, start, closer, lambda best: F.when(best["pos"].isNotNull(), best))
+    return run(subject)
 
 
 def longest_common(a: Column, b: Column) -> Column:

@@ -57,6 +57,11 @@ def segment_lengths(length: int, parts: int) -> list[int]:
     return [length // parts + (i < length % parts) for i in range(parts)]
 
 
+def word_sizes(length: int, edits: int) -> list[int]:
+    """Segment lengths of which at least one is free of edits."""
+    return segment_lengths(length, edits + 1)
+
+
 def segments(seq: Column, lengths: list[int]) -> Column:
     """array<struct<no, segment>>; an error where the lengths don't sum to the sequence's."""
     starts = [1 + sum(lengths[:i]) for i in range(len(lengths))]
@@ -103,6 +108,27 @@ def mean_quality(qual: Column, k: int = 6) -> Column:
     return F.when(n < k, F.array_repeat(F.lit(35), n)).otherwise(F.concat(F.transform(positions(F.lit(1), n - F.lit(k - 1)), mean), F.array_repeat(F.lit(35), k - 1)))
 
 
+def last_quality(qual: Column, k: int = 6) -> Column:
+    """Character code of the last base of each k-window; empty where there is none."""
+    return F.transform(positions(F.lit(k), F.length(qual)), lambda p: F.ascii(F.substring(qual, p, F.lit(1))))
+
+
+def trimmed(seq: Column, qual: Column, start: Column, strand: Column, barcode_length: Column, tech: int = 5) -> Column:
+    """struct<umi, seq, qual>: the UMI beside a barcode that begins at start, and the read beyond it, given in the direction of the transcript.
+
+    UMIs have 10 bases with 5' chemistry, 12 with 3'. On the reverse strand the UMI lies before the barcode and is given reverse-complemented. Transcripts
+    run away from a 5' barcode and towards a 3' one, so the forward strand is turned with 3' chemistry, the reverse one with 5'. Null without a start."""
+    n = 10 if tech == 5 else 12
+    ahead = start + barcode_length
+    forward = strand == FORWARD
+    code = F.when(forward, F.substring(seq, ahead, F.lit(n))).otherwise(reverse_complement(F.substring(seq, F.greatest(start - n, F.lit(1)), F.least(F.lit(n), start - 1))))
+    left = F.when(forward, ahead + n).otherwise(F.lit(1))
+    size = F.when(forward, F.greatest(F.length(seq) - left + 1, F.lit(0))).otherwise(F.greatest(start - 1 - n, F.lit(0)))
+    rest, marks = F.substring(seq, left, size), F.substring(qual, left, size)
+    turn = forward if tech == 3 else ~forward
+    return F.when(start.isNotNull(), F.struct(code.alias("umi"), F.when(turn, reverse_complement(rest)).otherwise(rest).alias("seq"), F.when(turn, F.reverse(marks)).otherwise(marks).alias("qual")))
+
+
 def umi_and_insert(seq: Column, start: Column, strand: Column, barcode_length: Column, tech: int = 5, umi: int = 10, spacer: int = 13) -> tuple[Column, Column]:
     """The UMI behind a barcode that begins at start, and what is left of the read beyond it and, for 5' chemistry, the template-switch oligo.
 

@@ -2,76 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions import codec as C
 from helixframe.functions import distance as D
+from helixframe.functions import kernels
 from helixframe.functions import sequence as S
-from helixframe.operators.chemistry import reverse_complement
-
-HITS = "array<struct<pos:int,dist:int>>"
+from helixframe.operators.chemistry import R1, TSO, Chemistry, reverse_complement
 
+LISTS = "pos array<int>, strand array<int>, dist array<int>"
 
 def ends(seq: Column, adapter: str, within: int, edits: int) -> Column:
-    """struct<left, right> of best places in the first and last bases of the read, the reverse complement at the right end; null where none is."""
-    left = D.best_place(adapter, F.substring(seq, F.lit(1), F.least(F.lit(within), F.length(seq))), edits)
+    """struct<left, right> of best places in the first and last bases of the read, the reverse complement at the right end; null where none is.
+
+    At the left end the first exact place wins, else the last of the closest ones, as always at the right end."""
+    left = D.best_place(adapter, F.substring(seq, F.lit(1), F.least(F.lit(within), F.length(seq))), edits, first_exact=True)
     offset = F.greatest(F.length(seq) - within, F.lit(0))
     right = D.best_place(reverse_complement(adapter), F.substring(seq, offset + 1, F.lit(within)), edits)
     return F.struct(left["pos"].alias("left"), (right["pos"] + offset).alias("right"))
 
 
-def scan(seq: Column, adapter: str, edits: int) -> Column:
-    """All places of an adapter from left to right: array<struct<pos, dist>>.
+def scan(seq: Column, adapter: str, edits: int, regions: Column | None = None) -> Column:
+    """All places of an adapter and its reverse complement from left to right: array<struct<pos, strand, dist>>.
 
-    A window within the edits begins a hit, or takes over the last one if it lies less than the adapter's length behind it and is closer."""
-    size = len(adapter)
-    seen = F.transform(S.kmers(seq, size), lambda w: F.struct(w["pos"].alias("pos"), F.levenshtein(w["kmer"], F.lit(adapter), edits).alias("dist")))
-    near = F.filter(seen, lambda x: x["dist"] >= 0)
+    A window that is as close as the closest so far begins a hit, or takes over the last one if it lies less than the adapter's length behind it.
+    regions: array<struct<start, end>>, looked through one by one, each with a closest of its own."""
+    back = reverse_complement(adapter)
 
-    def step(hits: Column, x: Column) -> Column:
-        last = F.try_element_at(hits, F.lit(-1))
-        hit = F.array(x)
-        apart = last.isNull() | (x["pos"] - last["pos"] >= size)
-        closer = x["dist"] < last["dist"]
-        return F.when(apart, F.concat(hits, hit)).when(closer, F.concat(F.slice(hits, F.lit(1), F.size(hits) - 1), hit)).otherwise(hits)
+    def hits(seqs: pd.Series, limits: tuple | None) -> pd.DataFrame:
+        pos, strand, dist = kernels.scanned([x if isinstance(x, str) else None for x in seqs], limits, adapter, back, edits)
+        return pd.DataFrame({"pos": pos, "strand": strand, "dist": dist})
 
-    return F.aggregate(near, F.array().cast(HITS), step)
+    if regions is None:
+        found = F.pandas_udf(lambda s: hits(s, None), LISTS)(seq)
+    else:
+        bounds = [F.transform(regions, lambda r: r[c].cast("int")) for c in ("start", "end")]  # noqa: B023
+        found = F.pandas_udf(lambda s, a, b: hits(s, (a, b)), LISTS)(seq, *bounds)
+    return F.arrays_zip(*(found[c].alias(c) for c in ("pos", "strand", "dist")))
 
 
-def jump_scan(seq: Column, word: str) -> Column:
-    """Places of a word, going on behind each: array<int>."""
-    at = F.filter(S.positions(F.lit(1), F.length(seq) - F.lit(len(word) - 1)), lambda p: F.substring(seq, p, F.lit(len(word))) == word)
+def jump_scan(seq: Column, adapter: str, edits: int) -> Column:
+    """Places of an adapter (strand 1) or its reverse complement (-1) within the edits, going on behind each: array<struct<pos, strand>>."""
+    back = reverse_complement(adapter)
 
-    def step(state: Column, p: Column) -> Column:
-        free = p >= state["next"]
-        return F.struct(F.when(free, p + len(word)).otherwise(state["next"]).alias("next"), F.when(free, F.concat(state["at"], F.array(p))).otherwise(state["at"]).alias("at"))
+    @F.pandas_udf("pos array<int>, strand array<int>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        pos, strand = kernels.jumped([x if isinstance(x, str) else None for x in s], adapter, back, edits)
+        return pd.DataFrame({"pos": pos, "strand": strand})
 
-    return F.aggregate(at, F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at")), step, lambda s: s["at"])
+    found = run(seq)
+    return F.arrays_zip(found["pos"].alias("pos"), found["strand"].alias("strand"))
 
 
 def side(outer_left: Column, inner_left: Column, outer_right: Column, inner_right: Column) -> Column:
     """Where the barcode is by the adapters found at both ends (null: not found): left, right, both, none, or wrong for crossed ones."""
-    ol, il, or_, ir = (c.isNotNull() for c in (outer_left, inner_left, outer_right, inner_right))
-    left_right_order = outer_left < inner_left
-    right_order = inner_right < outer_right
-    n = lambda *flags: F.concat(*(F.when(f, "1").otherwise("0") for f in flags))
-    code = n(il, ol, ir, or_)
+    found = {"il": inner_left, "ol": outer_left, "ir": inner_right, "or": outer_right}
+    code = F.concat(*(F.when(c.isNotNull(), "1").otherwise("0") for c in found.values()))
     out = F.when(code == "0000", "none")
     out = out.when(code.isin("0101", "1001", "0110", "1010"), "both")
     out = out.when(code.isin("0100", "1000"), "left").when(code.isin("0001", "0010"), "right")
-    out = out.when(code.isin("1100", "1101", "1110"), F.when(left_right_order, "left").otherwise("wrong"))
-    out = out.when(code.isin("0011", "0111", "1011"), F.when(right_order, "right").otherwise("wrong"))
-    return out.when(left_right_order & ~right_order, "left").when(~left_right_order & right_order, "right").otherwise("both")
+    out = out.when(code.isin("1100", "1101", "1110"), F.when(outer_left <= inner_left, "left").otherwise("wrong"))
+    out = out.when(code.isin("0011", "0111", "1011"), F.when(inner_right <= outer_right, "right").otherwise("wrong"))
+    out = out.when((inner_left < outer_left) & (inner_right < outer_right), "right")
+    return out.when((inner_left > outer_left) & (inner_right > outer_right), "left").otherwise("both")
+
 
+def kmer_window(r1: Column, strand: Column, chemistry: Chemistry = Chemistry()) -> tuple[Column, Column]:
+    """First and last base of the window in which the barcode beside an adapter of an annotated read lies, for sequence.window_bounds().
 
-def kmer_window(r1: Column, strand: Column, mismatches: int, adapter: int = 22, barcode: int = 16) -> tuple[Column, Column]:
-    """First and last place of the bases in which the barcode beside an adapter lies."""
+    The bases lie from twice the mismatches before the adapter's end to mismatches behind the barcode's, or mirrored on the other strand."""
+    n, k, m = len(chemistry.r1), chemistry.barcode, chemistry.mismatches
     forward = strand == S.FORWARD
-    first = F.when(forward, r1 + 1 + adapter - 2 * mismatches).otherwise(r1 + 1 - barcode - mismatches)
-    last = F.when(forward, r1 + 1 + adapter + barcode + mismatches).otherwise(r1 + 1 + 2 * mismatches)
+    first = F.when(forward, r1 + 1 + n - 2 * m).otherwise(r1 + 1 - k - m)
+    last = F.when(forward, r1 + 1 + n + k + m).otherwise(r1 + 1 + 2 * m)
     return first, last
 
 
+def end_window(length: Column, at_left: Column, outer: Column, inner: Column, chemistry: Chemistry = Chemistry()) -> Column:
+    """1-based start of the first k-mer beside the adapters at a read's end: by the outer one, else by the inner one; null where that is outside the read.
+
+    The barcode is expected behind R1, or before the UMI and the inner adapter; k-mers begin margin bases before that and there are 2 * margin."""
+    n, k, umi, margin = len(chemistry.r1), chemistry.barcode, chemistry.umi, chemistry.margin
+    by_outer = F.when(at_left, outer + n - margin).otherwise(outer - k - margin)
+    left = inner - k - umi - margin
+    right = inner + len(TSO) + umi - margin
+    by_inner = F.when(at_left, F.when(left >= 1, left)).otherwise(F.when(inner + len(TSO) + umi + k + margin - 1 <= length, right))
+    return F.when(outer.isNotNull(), by_outer).otherwise(by_inner)
+
+
 def complex_class(adapters: Column) -> Column:
     """Class of a read with two or more adapters: array<struct<pos, strand>> in order of place; null for fewer."""
     a, b = F.get(adapters, F.lit(0)), F.get(adapters, F.lit(1))
@@ -82,13 +102,31 @@ def complex_class(adapters: Column) -> Column:
     return F.when(F.size(adapters) == 2, two).when(F.size(adapters) > 2, F.when(same, "Chimera").otherwise("Others"))
 
 
-def read_status(length: Column, r1_found: Column, barcode_found: Column, mapped: Column, within: int = 100) -> Column:
+def census(reads: DataFrame, r1: str = R1, tso: str = TSO) -> DataFrame:
+    """The status report of reads (id, seq): length, runs of A and T, and number, places and strands of R1 within two edits and the oligo within one."""
+    rows = reads.withColumns({"r": jump_scan(F.col("seq"), r1, 2), "t": jump_scan(F.col("seq"), tso, 1)})
+    text = lambda c, f: C.joined(F.transform(c, lambda h: h[f]), ",")
+    return rows.select(
+        F.col("id").alias("read_id"),
+        F.length("seq").alias("length"),
+        S.motif_count(F.col("seq"), "[GCT]A{13}").alias("num_polya"),
+        S.motif_count(F.col("seq"), "[GCA]T{13}").alias("num_polyt"),
+        *(x.alias(n) for c, name in (("r", "r1"), ("t", "tso")) for n, x in ((f"num_{name}", F.size(c)), (f"{name}_indices", text(c, "pos")), (f"{name}_strand", text(c, "strand")))),
+    )
+
+
+def read_status(length: Column, r1_found: Column, barcode_found: Column, mapped: Column, within: int = 100, most: int = 100_000) -> Column:
     """Status of a read by its length, adapters, barcode and mapping."""
     return (
-        F.when(length >= 100_000, "Read_too_long")
-        .when(length <= 2 * within, "Read_too_short")
+        length_status(length, within, most)
         .when(~mapped, "Read_unmapped")
         .when(~r1_found, "R1a_missing")
         .when(~barcode_found, "Barcode_missing")
         .otherwise("fine")
     )
+
+
+def length_status(length: Column, within: int | None, most: int = 100_000) -> Column:
+    """The first cases of a read's status: too long, or, with within, too short to have two ends of that length."""
+    out = F.when(length >= most, "Read_too_long")
+    return out if within is None else out.when(length <= 2 * within, "Read_too_short")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import interval as I
+from helixframe.functions import sequence as S
+from helixframe.operators import regions
 
 UNUSABLE = 999999
 
@@ -31,11 +33,162 @@ def annotation_name(gene_id: Column, gene_name: Column) -> Column:
 
 
 def annotation_score(tag: Column, score: Column, hits: Column) -> Column:
-    """Score of a hit by its isoform tag (">1>2>" lists exons, -1 a novel one), the less the better; 0 for the only hit of a read."""
-    exons = F.filter(F.split(F.regexp_extract(tag, "=([>\\-0-9]+)", 1), ">"), lambda x: x != "")
-    weight = F.size(exons) - 2 * F.size(F.filter(exons, lambda x: x == "-1"))
+    """Score of a hit by its isoform tag (">1>2>" lists exons, -1 a novel one), the less the better; 0 for the only hit of a read.
+
+    The tags of spliced hits and of exons that several transcripts have count: by ten for each exon, less two for each novel one."""
+    parts = lambda text, mark: F.filter(F.split(text, mark), lambda x: x != "")
+    exons = F.greatest(F.size(parts(tag, ">")) - 2, F.lit(0))
+    exons = F.when(exons == 0, F.lit(1)).otherwise(exons)
+    weight = exons - 2 * (F.size(parts(F.coalesce(F.get(parts(tag, "="), F.lit(1)), F.lit("-")), "-")) - 1)
     scaled = F.when(weight >= 5, F.lit(0)).when(weight <= -5, F.lit(UNUSABLE)).otherwise(F.least(F.floor((score + 1) / F.pow(F.lit(10.0), weight)), F.lit(UNUSABLE)))
-    return F.when(hits == 1, F.lit(0)).when(F.size(exons) > 0, scaled).otherwise(score).cast("int")
+    return F.when(hits == 1, F.lit(0)).when(tag.rlike("fsm|ambiguous|novel"), scaled).otherwise(score).cast("int")
+
+
+def read_annotation(hits: Column, occupied: Column, pos: Column, strand: Column, tech: int = 5, behind: bool = False) -> Column:
+    """struct<annotation, transcript, score, breakpoints> of a read by its one adapter (place, strand) and its hits.
+
+    hits: array<struct<start, end, orient, r_start, r_end, r_strand, gene_id, gene_name, transcript, score>> in order, occupied: the regions they cover.
+    Hits count whose orientation is the adapter's (3' chemistry: the other one) and, where several regions are occupied, that lie in the nearest one
+    ahead of the adapter (with behind, in that of least signed distance). One gives its gene; several that hardly overlap are a fusion, with
+    breakpoints at the sides that face one another; else the least score gives the gene, if no other has it."""
+    wanted = strand if tech == 5 else S.REVERSE - strand
+    alone = F.size(hits) == 1
+    forward, at = wanted == S.FORWARD, F.when(alone, pos - 1).otherwise(pos)
+    region = regions.nearest_region(at, forward, occupied, behind)
+    within = lambda h: (F.size(occupied) == 1) | F.coalesce((h["start"] >= region["start"]) & (h["end"] <= region["end"]), F.lit(False))
+    valid = F.filter(hits, lambda h: (h["orient"] == wanted) & within(h))
+    marked = F.transform(valid, lambda h: F.struct(annotation_score(h["transcript"], h["score"], F.size(hits)).alias("score"), annotation_name(h["gene_id"], h["gene_name"]).alias("gene"), h["transcript"].alias("transcript")))
+    best = F.array_min(F.transform(marked, lambda m: m["score"]))
+    winners = F.filter(marked, lambda m: m["score"] == best)
+    text, whole = F.lit(None).cast("string"), F.lit(None).cast("int")
+    none = F.array().cast("array<int>")
+
+    def out(annotation: Column, transcript: Column = text, score: Column = whole, breakpoints: Column = none) -> Column:
+        return F.struct(annotation.alias("annotation"), transcript.alias("transcript"), score.cast("int").alias("score"), breakpoints.alias("breakpoints"))
+
+    def points(h: Column, i: Column) -> Column:
+        ahead = h["r_strand"] == h["orient"]
+        entry, leave = F.when(ahead, h["r_start"]).otherwise(h["r_end"]), F.when(ahead, h["r_end"]).otherwise(h["r_start"])
+        return F.when(i == 0, F.array(leave)).when(i == F.size(valid) - 1, F.array(entry)).otherwise(F.array(entry, leave))
+
+    fusion = F.concat(F.lit("Fusion: "), F.array_join(F.transform(marked, lambda m: m["gene"]), "::"))
+    first = F.get(winners, F.lit(0))
+    gene = out(first["gene"], first["transcript"], first["score"])
+    odd = (F.size(hits) == 0) | (F.size(occupied) == 0)
+    outside = alone & (F.size(occupied) > 1) & ~F.coalesce(within(F.get(hits, F.lit(0))), F.lit(False))
+    unusable = F.lit(UNUSABLE)
+    return (
+        F.when(odd, out(F.lit("Odds_x")))
+        .when(outside, out(F.lit("Odds0")))
+        .when(F.size(valid) == 0, out(F.lit("Non-transcriptome"), score=unusable))
+        .when((F.size(valid) > 1) & is_fusion(valid), out(fusion, breakpoints=F.flatten(F.transform(valid, points))))
+        .when(F.size(winners) == 1, gene)
+        .otherwise(out(F.lit("Ambiguous_mapping"), score=unusable))
+    )
+
+
+def choose_feature(start: Column, end: Column, features: Column) -> Column:
+    """Of features that share an end (array<struct<start, end, id>>) the one of which the hit leaves least uncovered, the first of equal ones."""
+    left = F.transform(features, lambda f, i: F.struct((1 - I.coverage(f["start"], f["end"], start, end)).alias("left"), i.alias("i"), f["id"].alias("id")))
+    return F.array_min(left)["id"]
+
+
+def best_hit(hits: DataFrame) -> DataFrame:
+    """id, gene, best of hits (id, gene, score): the gene of least score, or the name for several of that score."""
+    least = hits.groupBy(F.col("id").alias("l_id")).agg(F.min("score").alias("best"))
+    rows = hits.join(least, (F.col("id") == F.col("l_id")) & (F.col("score") == F.col("best")))
+    found = rows.groupBy("id", "best").agg(F.count("*").alias("n"), F.min("gene").alias("gene"))
+    return found.select("id", F.when(F.col("n") == 1, F.col("gene")).otherwise("Ambiguous_mapping").alias("gene"), "best")
+
+
+def latest(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """key and its value in the row of greatest order; of rows of equal order the least value."""
+    at = rows.groupBy(key, order).agg(F.min(value).alias(value))
+    return at.groupBy(key).agg(F.max_by(value, order).alias(value))
+
+
+def gene_models(exons: DataFrame) -> DataFrame:
+    """gene, plus, and strict and loose models of each gene of exons (gene, plus, transcript, ordinal, start, end).
+
+    A model is struct<exons: array<struct<key, id, start, end>> in order of midpoints, transcripts: array<struct<name, exons: array<id>>>>. Strict: rows of
+    equal midpoint are one exon, with the place of the first. Loose: rows that overlap are one. Ids count from 0 in the order of first rows; a
+    transcript's exons stand in the order of their rows."""
+    rows = exons.withColumn("key", F.floor((F.col("start") + F.col("end")) / 2))
+    same = Window.partitionBy("gene", "key").orderBy("ordinal", "start", "end")
+    strict = rows.withColumns({"first": F.first("ordinal").over(same), "e_start": F.first("start").over(same), "e_end": F.first("end").over(same)})
+    strict = strict.withColumn("id", F.dense_rank().over(Window.partitionBy("gene").orderBy("first")) - 1)
+    order = Window.partitionBy("gene").orderBy("start", "end")
+    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = rows.withColumn("new", (upto.isNull() | (F.col("start") > upto)).cast("int")).withColumn("island", F.sum("new").over(order))
+    own = Window.partitionBy("gene", "island")
+    loose = island.withColumns({"first": F.min("ordinal").over(own), "e_start": F.min("start").over(own), "e_end": F.max("end").over(own)})
+    loose = loose.withColumn("id", F.dense_rank().over(Window.partitionBy("gene").orderBy("first")) - 1).withColumn("key", F.floor((F.col("e_start") + F.col("e_end")) / 2))
+
+    def model(df: DataFrame, name: str) -> DataFrame:
+        ids = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "id"))), lambda x: x["id"])
+        lists = df.where(F.col("transcript").isNotNull()).groupBy("gene", "transcript").agg(ids.alias("exons"))
+        lists = lists.groupBy(F.col("gene").alias("t_gene")).agg(F.sort_array(F.collect_list(F.struct(F.col("transcript").alias("name"), "exons"))).alias("transcripts"))
+        one = F.struct(F.col("key").cast("int").alias("key"), F.col("id").cast("int").alias("id"), F.col("e_start").cast("int").alias("start"), F.col("e_end").cast("int").alias("end"))
+        table = df.groupBy("gene", "plus").agg(F.sort_array(F.collect_set(one)).alias("exons"))
+        both = table.join(lists, F.col("gene").eqNullSafe(F.col("t_gene")), "left")
+        empty = F.array().cast("array<struct<name:string,exons:array<int>>>")
+        return both.select(F.col("gene").alias(f"{name}_gene"), F.col("plus").alias(f"{name}_plus"), F.struct("exons", F.coalesce(F.col("transcripts").cast("array<struct<name:string,exons:array<int>>>"), empty).alias("transcripts")).alias(name))
+
+    both = model(strict, "strict").join(model(loose, "loose"), F.col("strict_gene").eqNullSafe(F.col("loose_gene")))
+    return both.select(F.col("strict_gene").alias("gene"), F.col("strict_plus").alias("plus"), "strict", "loose")
+
+
+def exon_beside(segment: Column, exons: Column, least: float) -> Column:
+    """The exon that a segment is held against: the first of midpoint not below its own, or, where that covers not more than least of it, the one before;
+    null if there is none before."""
+    middle = F.floor((segment["start"] + segment["end"]) / 2)
+    ahead = F.get(F.filter(exons, lambda x: x["key"] >= middle), F.lit(0))
+    back = F.try_element_at(F.filter(exons, lambda x: x["key"] < middle), F.lit(-1))
+    enough = ahead.isNotNull() & (I.coverage(segment["start"], segment["end"], ahead["start"], ahead["end"]) > least)
+    return F.when(enough, ahead).otherwise(back)
+
+
+def arranged(ids: Column) -> Column:
+    return F.concat(F.lit(">"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ">"), F.lit(">"))
+
+
+def isoform(segments: Column, spliced: Column, model: Column, plus: Column, gene: Column, least: float) -> Column:
+    """Tag of a hit by the exons and transcripts of its gene: fsm/ism, ambiguous or novel for spliced hits; mono-exon_match, mono_exonic, ambiguous, novel
+    or unspliced for others. least: the share that must cover, for spliced hits both ways."""
+    exons, transcripts = model["exons"], model["transcripts"]
+
+    def own(s: Column) -> Column:
+        e = exon_beside(s, exons, least)
+        both = (I.coverage(s["start"], s["end"], e["start"], e["end"]) > least) & (I.coverage(e["start"], e["end"], s["start"], s["end"]) > least)
+        return F.when(e.isNotNull() & both, e["id"]).otherwise(F.lit(-1))
+
+    ids = F.transform(segments, own)
+    ids = F.when(plus, ids).otherwise(F.reverse(ids))
+    text = arranged(ids)
+    found = F.filter(transcripts, lambda t: arranged(t["exons"]).contains(text))
+    tagged = lambda name, tag, body: F.concat(name, F.lit(f"({tag}="), body, F.lit(")"))
+    many = F.when(F.array_contains(ids, F.lit(-1)) | (F.size(found) == 0), tagged(gene, "novel", text)).when(F.size(found) == 1, tagged(F.get(found, F.lit(0))["name"], "fsm/ism", text)).otherwise(tagged(gene, "ambiguous", text))
+    segment = F.get(segments, F.lit(0))
+    e = exon_beside(segment, exons, least)
+    covered = e.isNotNull() & (I.coverage(segment["start"], segment["end"], e["start"], e["end"]) > least)
+    holders = F.filter(transcripts, lambda t: F.array_contains(t["exons"], e["id"]))
+    number = e["id"].cast("string")
+    one = F.when(F.size(holders) == 0, tagged(gene, "novel", number)).when(F.size(holders) == 1, tagged(F.get(holders, F.lit(0))["name"], "mono_exonic", number)).otherwise(tagged(gene, "ambiguous", number))
+    only = F.concat(F.coalesce(F.get(transcripts, F.lit(0))["name"], gene), F.lit("(mono-exon_match)"))
+    return F.when(spliced, many).when(F.size(exons) == 1, only).when(covered, one).otherwise(F.concat(gene, F.lit("(unspliced)")))
+
+
+def isoforms(hits: DataFrame, models: DataFrame, strict: float = 0.9) -> DataFrame:
+    """Adds tag to hits (gene, segments: array<struct<start, end>>, spliced) by gene_models(): by the strict model first; tags that name something novel, and
+    those without exons that aren't unspliced, are made anew by the loose model with any overlap, and end in a star. Null without a model."""
+    side = models.select(F.col("gene").alias("m_gene"), "plus", "strict", "loose")
+    rows = hits.join(side, F.col("gene") == F.col("m_gene"), "left")
+    gene = F.col("gene").cast("string")
+    first = isoform(F.col("segments"), F.col("spliced"), F.col("strict"), F.col("plus"), gene, strict)
+    rows = S.once(rows, "first_tag", first)
+    again = F.col("first_tag").contains("novel") | (~F.col("first_tag").contains(">") & ~F.col("first_tag").contains("unspliced"))
+    second = F.concat(isoform(F.col("segments"), F.col("spliced"), F.col("loose"), F.col("plus"), gene, 0.0), F.lit("*"))
+    return rows.withColumn("tag", F.when(again, second).otherwise(F.col("first_tag"))).drop("m_gene", "plus", "strict", "loose", "first_tag")
 
 
 def isoform_tags(matched: DataFrame, transcripts: DataFrame) -> DataFrame:

@@ -28,10 +28,29 @@ CORE = (
     f"substring({dna(f"concat('umi', {K})")}, 1, 10), case when {K} % 11 = 0 then '' else '{TSO}' end, {dna(f"concat('body', {K})")}, "
     f"case when {K} % 3 = 0 then 'AAAAAAAAAAAAAA' else 'AAAAA' end)"
 )
+
+def edited(seq: str, key: str) -> str:
+    """A literal that is whole, or has a base replaced, left out or put in, by a key."""
+    n = len(seq)
+    cut = f"cast(1 + {key} % {n - 2} as int)"
+    return (
+        f"case cast({key} % 4 as int) when 0 then '{seq}' when 1 then {mutated(f"'{seq}'", f'1 + {key} % {n}')} "
+        f"when 2 then concat(substring('{seq}', 1, {cut}), substring('{seq}', {cut} + 2, 99)) else concat(substring('{seq}', 1, {cut}), 'G', substring('{seq}', {cut} + 1, 99)) end"
+    )
+
+
+#: Reads whose adapters have edits, of which some have none, or one at either end.
+NOISY = (
+    f"concat(substring({dna(f"concat('pre', {K})")}, 1, cast({K} % 13 as int)), case when {K} % 7 = 0 then '' else {edited(R1, K)} end, "
+    f"case when {K} % 5 = 0 then {mutated(barcode('o_custkey'), f'1 + {K} % 16')} else {barcode('o_custkey')} end, "
+    f"substring({dna(f"concat('umi', {K})")}, 1, 10), case when {K} % 11 = 0 then '' else {edited(TSO, f'({K} + 1)')} end, {dna(f"concat('body', {K})")}, {dna(f"concat('more', {K})")}, {dna(f"concat('rest', {K})")}, "
+    f"case when {K} % 3 = 0 then 'AAAAAAAAAAAAAA' else 'AAAAA' end, case when {K} % 17 = 0 then '{reverse_complement(R1)}' else '' end)"
+)
 #: (table, columns) by name.
 TABLES = {
     "whitelist": ("customer", ["c_custkey as ordinal", f"{barcode('c_custkey')} as barcode"]),
     "reads": ("orders", [f"{K} as id", f"case when {K} % 2 = 1 then translate(reverse({CORE}), 'ACGT', 'TGCA') else {CORE} end as seq", f"cast({K} % 2 * 3 as int) as strand"]),
+    "noisy": ("orders", [f"{K} as id", f"case when {K} % 2 = 1 then translate(reverse({NOISY}), 'ACGT', 'TGCA') else {NOISY} end as seq"]),
     "genes": (
         "part",
         ["p_partkey as gene", "concat('chr', p_partkey % 5) as chrom", "cast(p_partkey * 100 as int) as g_start", "cast(p_partkey * 100 + 200 + p_size * 20 as int) as g_end", "case when p_partkey % 2 = 0 then '+' else '-' end as g_strand", "p_name as gene_name"],

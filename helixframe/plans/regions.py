@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import once
@@ -12,16 +12,17 @@ from helixframe.plans.registry import query
 
 MERGED = """, m0 AS (SELECT id, q_start AS s, q_end AS e, max(q_end) OVER (PARTITION BY id ORDER BY q_start, q_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM hits),
 m1 AS (SELECT id, s, e, sum(CASE WHEN upto IS NULL OR s > upto THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m0),
-merged AS (SELECT id, min(s) AS s, max(e) AS e, count(*) AS members FROM m1 GROUP BY id, island)"""
+merged AS (SELECT id, min(s) AS s, max(e) AS e, count(*) AS members, string_agg(CAST(s AS STRING), ',' ORDER BY s) AS grp FROM m1 GROUP BY id, island)"""
 
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
     return X.frame(spark, d, "hits").select("id", F.col("q_start").alias("start"), F.col("q_end").alias("end"))
 
 
-@query(X.sql("hits").rstrip() + MERGED + ' SELECT id, s AS start, e AS "end", members FROM merged')
+@query(X.sql("hits").rstrip() + MERGED + ' SELECT id, s AS start, e AS "end", members, grp AS "group" FROM merged')
 def interval_merge(spark: SparkSession, d: str) -> DataFrame:
-    return regions.merge(spans(spark, d))
+    rows = regions.merge(spans(spark, d).withColumn("place", F.col("start")), member="place")
+    return rows.withColumn("group", F.array_join(F.col("group").cast("array<string>"), ","))
 
 
 FREE = (
@@ -80,17 +81,17 @@ def nearest_region(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exon_rows(spark: SparkSession, d: str) -> DataFrame:
-    """gene, ordinal, start, end, plus: two to five exons of each gene, and a row of equal midpoint for the first."""
-    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("gene"), (F.col("p_partkey") % 2 == 0).alias("plus"), F.explode(F.sequence(F.lit(0), (F.col("p_partkey") % 4 + 2).cast("int"))).alias("i"))
+    """gene, ordinal, start, end, plus: one to five exons of each gene, and a row of equal midpoint for the first."""
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("gene"), (F.col("p_partkey") % 2 == 0).alias("plus"), F.explode(F.sequence(F.lit(0), F.when(F.col("p_partkey") % 7 == 0, 1).otherwise(F.col("p_partkey") % 4 + 2).cast("int"))).alias("i"))
     start = F.when(F.col("i") == 0, F.col("gene") * 100 + 1).otherwise(F.col("gene") * 100 + (F.col("i") - 1) * 60)
     end = F.when(F.col("i") == 0, F.col("gene") * 100 + 39).otherwise(start + 40)
     return part.select("gene", (10 - F.col("i")).alias("ordinal"), start.cast("int").alias("start"), end.cast("int").alias("end"), "plus")
 
 
 EXON_SQL = """WITH exon_rows AS (SELECT p_partkey AS gene, p_partkey % 2 = 0 AS plus, CAST(10 - i AS INT) AS ordinal, CAST(CASE WHEN i = 0 THEN p_partkey * 100 + 1 ELSE p_partkey * 100 + (i - 1) * 60 END AS INT) AS start,
-CAST(CASE WHEN i = 0 THEN p_partkey * 100 + 39 ELSE p_partkey * 100 + (i - 1) * 60 + 40 END AS INT) AS end_ FROM part, unnest(range(0, p_partkey % 4 + 3)) AS t(i)),
+CAST(CASE WHEN i = 0 THEN p_partkey * 100 + 39 ELSE p_partkey * 100 + (i - 1) * 60 + 40 END AS INT) AS end_ FROM part, unnest(range(0, CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE p_partkey % 4 + 3 END)) AS t(i)),
 f AS (SELECT *, row_number() OVER (PARTITION BY gene, (start + end_) // 2 ORDER BY ordinal, start, end_) AS n FROM exon_rows),
-exons AS (SELECT gene, start, end_, CAST(dense_rank() OVER (PARTITION BY gene ORDER BY ordinal) AS INT) AS exon FROM f WHERE n = 1)"""
+exons AS (SELECT gene, start, end_, CAST(dense_rank() OVER (PARTITION BY gene ORDER BY ordinal) - 1 AS INT) AS exon FROM f WHERE n = 1)"""
 
 
 @query(EXON_SQL + ' SELECT gene, start, end_ AS "end", exon FROM exons')
@@ -124,7 +125,7 @@ def exon_match(spark: SparkSession, d: str) -> DataFrame:
     return regions.exon_match(segment_rows(spark, d), regions.exon_ids(exon_rows(spark, d))).drop("plus")
 
 
-TRANSCRIPT_SQL = """, tr AS (SELECT gene, concat('T', gene, '-', v) AS transcript, list(exon ORDER BY CASE WHEN gene % 2 = 0 THEN start ELSE -start END) AS ids FROM exons, unnest(range(0, 2)) AS t(v) WHERE v = 0 OR exon > 2 GROUP BY gene, v),
+TRANSCRIPT_SQL = """, tr AS (SELECT gene, concat('T', gene, '-', v) AS transcript, list(exon ORDER BY CASE WHEN gene % 2 = 0 THEN start ELSE -start END) AS ids FROM exons, unnest(range(0, 2)) AS t(v) WHERE v = 0 OR exon > 1 GROUP BY gene, v),
 tt AS (SELECT gene, transcript, concat('>', array_to_string(list_transform(ids, lambda x: CAST(x AS STRING)), '>'), '>') AS t_text FROM tr),
 hx AS (SELECT hit, gene, list(coalesce(exon, -1) ORDER BY CASE WHEN plus THEN segment ELSE -segment END) AS ids FROM matched GROUP BY hit, gene, plus),
 ht AS (SELECT hit, gene, list_contains(ids, -1) AS novel, concat('>', array_to_string(list_transform(ids, lambda x: CAST(x AS STRING)), '>'), '>') AS text FROM hx),
@@ -136,7 +137,7 @@ SELECT hit, gene, CASE WHEN n = 1 THEN concat(one, '(fsm/ism=', text, ')') ELSE
 def isoform_class(spark: SparkSession, d: str) -> DataFrame:
     exons = regions.exon_ids(exon_rows(spark, d))
     order = F.sort_array(F.collect_list(F.struct(F.when(F.col("gene") % 2 == 0, F.col("start")).otherwise(-F.col("start")).alias("o"), "exon")))
-    kinds = exons.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("v")).where((F.col("v") == 0) | (F.col("exon") > 2))
+    kinds = exons.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("v")).where((F.col("v") == 0) | (F.col("exon") > 1))
     transcripts = kinds.groupBy("gene", "v").agg(F.transform(order, lambda x: x["exon"]).alias("exons"))
     transcripts = transcripts.select("gene", F.concat(F.lit("T"), F.col("gene"), F.lit("-"), F.col("v")).alias("transcript"), "exons")
     matched = regions.exon_match(segment_rows(spark, d), exons)
@@ -168,10 +169,20 @@ TRIAGE = (
 )
 
 
-@query()
+CLIP_SQL_OF = "CASE WHEN len(regexp_extract_all({c}, '[A-Z]')) > 1 AND regexp_matches({c}, '^\\d+[SH]') THEN CAST(regexp_extract({c}, '^(\\d+)[SH]', 1) AS INT) ELSE -1 END AS {p}l, CASE WHEN len(regexp_extract_all({c}, '[A-Z]')) > 1 AND regexp_matches({c}, '\\d+[SH]$') THEN CAST(regexp_extract({c}, '(\\d+)[SH]$', 1) AS INT) ELSE -1 END AS {p}r"
+TRIAGE_SQL = f"""WITH RECURSIVE records AS (SELECT {', '.join(TRIAGE)} FROM lineitem), names AS (SELECT concat('t', p_partkey) AS id, concat('G', p_partkey % 50) AS name FROM part WHERE p_partkey % 3 <> 0),
+n AS (SELECT r.*, coalesce(a.name, ref) AS gene, coalesce(b.name, sa_ref) AS sa_gene, {CLIP_SQL_OF.format(c='cigar', p='')}, {CLIP_SQL_OF.format(c='sa_cigar', p='s')} FROM records r LEFT JOIN names a ON a.id = ref LEFT JOIN names b ON b.id = sa_ref),
+o AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY ord, flag, ref, gene, sa_gene NULLS FIRST, l, r, sl, sr) AS i FROM n),
+s AS (SELECT read, 0 AS i, CAST(NULL AS VARCHAR) AS gene, false AS chimeric FROM (SELECT DISTINCT read FROM o) UNION ALL
+SELECT s.read, o.i, CASE WHEN s.chimeric OR o.ref = '*' THEN s.gene WHEN s.gene IS NULL THEN o.gene WHEN o.flag < 2048 OR o.sa_gene IS NULL THEN s.gene WHEN o.l >= o.sl AND o.r >= o.sr THEN o.sa_gene WHEN o.l <= o.sl AND o.r <= o.sr THEN o.gene END,
+s.chimeric OR (o.ref <> '*' AND s.gene IS NOT NULL AND o.flag >= 2048 AND o.sa_gene IS NOT NULL AND NOT (o.l >= o.sl AND o.r >= o.sr) AND NOT (o.l <= o.sl AND o.r <= o.sr)) FROM s JOIN o ON o.read = s.read AND o.i = s.i + 1),
+l AS (SELECT read, max(i) AS i FROM o GROUP BY read) SELECT s.read, s.gene, s.chimeric FROM s JOIN l USING (read, i) WHERE s.gene IS NOT NULL OR s.chimeric"""
+
+
+@query(TRIAGE_SQL)
 def chimera_triage(spark: SparkSession, d: str) -> DataFrame:
     records = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr(*TRIAGE)
-    names = spark.read.parquet(f"{d}/part.parquet").selectExpr("concat('t', p_partkey) as id", "concat('G', p_partkey % 50) as name").where("substring(id, 2) % 3 <> 0")
+    names = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 3 <> 0").selectExpr("concat('t', p_partkey) as id", "concat('G', p_partkey % 50) as name")
     return chimera.triage(records, names)
 
 
@@ -213,25 +224,9 @@ def clip_split(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", cut.alias("c")).select("id", "c.cut", "c.verdict")
 
 
-SPLIT_SQL = X.sql("reads") + """, r AS (SELECT id, concat(seq, seq, seq) AS seq, length(seq) AS n, strand FROM reads WHERE id % 3 <> 1),
-a AS (SELECT id, seq, strand, k + 1 AS i, CASE WHEN id % 3 = 2 AND k = 1 THEN 40 ELSE 10 + k * n END AS pos, id % 3 = 2 AND k = 1 AS near FROM r, unnest(range(0, 3)) AS t(k)),
-kept AS (SELECT id, seq, strand, pos, row_number() OVER (PARTITION BY id ORDER BY pos) AS i, lag(pos) OVER (PARTITION BY id ORDER BY pos) AS b, lead(pos) OVER (PARTITION BY id ORDER BY pos) AS nx FROM a WHERE NOT near),
-c AS (SELECT *, coalesce((b + pos) // 2, 0) AS s, coalesce((pos + nx) // 2, length(seq)) AS e FROM kept)
-SELECT concat(id, '-', i) AS child, id AS parent, CAST(pos - s AS INT) AS pos, strand, substring(seq, s + 1, e - s) AS seq FROM c"""
-
-
-@query(SPLIT_SQL)
-def complex_split(spark: SparkSession, d: str) -> DataFrame:
-    n = F.length("seq")
-    place = lambda k: F.struct(F.when((F.col("id") % 3 == 2) & F.lit(k == 1), F.lit(40)).otherwise(10 + k * n).cast("int").alias("pos"), F.col("strand"))
-    rows = X.frame(spark, d, "reads").where("id % 3 <> 1").select("id", F.concat("seq", "seq", "seq").alias("seq"), F.array(*map(place, range(3))).alias("adapters"))
-    return chimera.split_complex(rows)
-
-
 @query(X.sql("hits", "reads") + "SELECT id, strand FROM reads WHERE id IN (SELECT id FROM hits WHERE quantity > 45)")
 def semi_join_chimera(spark: SparkSession, d: str) -> DataFrame:
-    chimeric = X.frame(spark, d, "hits").where("quantity > 45").select("id")
-    return X.frame(spark, d, "reads").join(chimeric, "id", "left_semi").select("id", "strand")
+    return chimera.of_reads(X.frame(spark, d, "reads"), X.frame(spark, d, "hits").where("quantity > 45")).select("id", "strand")
 
 
 BEST_SQL = X.sql("hits") + """, m AS (SELECT id, min(quantity) AS best FROM hits GROUP BY id), t AS (SELECT id, best, count(*) AS n, min(concat('G', partkey)) AS gene FROM hits JOIN m USING (id) WHERE quantity = best GROUP BY id, best)
@@ -240,12 +235,7 @@ SELECT id, CASE WHEN n = 1 THEN gene ELSE 'Ambiguous_mapping' END AS gene, best
 
 @query(BEST_SQL)
 def best_hit(spark: SparkSession, d: str) -> DataFrame:
-    best = F.min("quantity").over(Window.partitionBy("id"))
-    rows = X.frame(spark, d, "hits").withColumn("best", best).where("quantity = best")
-    found = rows.groupBy("id", "best").agg(F.count("*").alias("n"), F.min(F.concat(F.lit("G"), F.col("partkey"))).alias("gene"))
-    return found.select("id", F.when(F.col("n") == 1, F.col("gene")).otherwise("Ambiguous_mapping").alias("gene"), "best")
-
-
+    return annotate.best_hit(X.frame(spark, d, "hits").select("id", F.concat(F.lit("G"), F.col("partkey")).alias("gene"), F.col("quantity").alias("score")))
 
 
 LOOSE = EXON_SQL.split(",\nf AS")[0] + """, o AS (SELECT gene, start AS s, end_ AS e, max(end_) OVER (PARTITION BY gene ORDER BY start, end_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM exon_rows),

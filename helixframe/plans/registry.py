@@ -21,6 +21,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return keep
-
-
-from helixframe.plans import regions, scalar, tables  # noqa: E402, F401

@@ -10,7 +10,6 @@ from helixframe.functions import distance as D
 from helixframe.functions import interval as I
 from helixframe.functions import sequence as S
 from helixframe.operators import adapters, annotate, barcode, dtw
-from helixframe.operators.chemistry import R1, TSO
 from helixframe.plans import fixtures as X
 from helixframe.plans.registry import query
 
@@ -69,7 +68,7 @@ def tail_sites(spark: SparkSession, d: str) -> DataFrame:
     return X.frame(spark, d, "reads").select("id", F.explode(S.tail_sites(F.col("seq"), "^[^A]A{5}", 6)).alias("site"))
 
 
-UMI_SQL = f""", s AS (SELECT id, strand, seq, CAST(CASE WHEN strand = 0 THEN 1 + id % 13 + 22 ELSE length(seq) - (id % 13 + 22 + 16) + 1 END AS INT) AS b FROM reads WHERE id % 7 <> 0)
+UMI_SQL = f""", s AS (SELECT id, strand, seq, CAST(CASE WHEN strand = 0 THEN 1 + id % 13 + 22 ELSE length(seq) - (id % 13 + 22 + 16) + 1 END AS INT) AS b FROM reads)
 SELECT id, CASE WHEN strand = 0 THEN substring(seq, b + 16, 10) ELSE {rc('substring(seq, greatest(b - 10, 1), least(10, b - 1))')} END AS umi,
  CASE WHEN strand = 0 THEN substring(seq, b + 16 + 23, length(seq)) ELSE {rc('substring(seq, 1, greatest(b - 1 - 23, 0))')} END AS insert_ FROM s"""
 
@@ -78,7 +77,7 @@ SELECT id, CASE WHEN strand = 0 THEN substring(seq, b + 16, 10) ELSE {rc('substr
 def umi_trim(spark: SparkSession, d: str) -> DataFrame:
     start = F.when(F.col("strand") == 0, 1 + F.col("id") % 13 + 22).otherwise(F.length("seq") - (F.col("id") % 13 + 22 + 16) + 1).cast("int")
     umi, rest = S.umi_and_insert(F.col("seq"), start, F.col("strand"), F.lit(16))
-    return X.frame(spark, d, "reads").where("id % 7 <> 0").select("id", umi.alias("umi"), rest.alias("insert_"))
+    return X.frame(spark, d, "reads").select("id", umi.alias("umi"), rest.alias("insert_"))
 
 
 @query(X.sql("whitelist") + "SELECT ordinal, CAST(" + " + ".join(f"(strpos('ACGT', substring(barcode, {i + 1}, 1)) - 1) * {4 ** (5 - i)}" for i in range(6)) + " AS INT) AS code FROM whitelist")
@@ -118,66 +117,22 @@ def edit_plain(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).select("ordinal", F.levenshtein("a", "c").alias("edits"), D.hamming(F.col("a"), F.col("b")).alias("differing"), (F.col("a") == F.col("b")).alias("same"))
 
 
-@query()
-def longest_common(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(spark, d).select("ordinal", D.longest_common(F.col("a"), F.col("c")).alias("score"))
-
-
-LOCAL_SQL = f""", w AS (SELECT id, t.p AS pos, levenshtein(substring(seq, t.p, 13), '{TSO}') AS dist FROM reads, unnest(range(1, length(seq) - 11)) AS t(p)),
-b AS (SELECT id, pos, dist, row_number() OVER (PARTITION BY id ORDER BY dist, pos DESC) AS r FROM w WHERE dist <= 3)
-SELECT reads.id, CAST(b.pos AS INT) AS pos, CAST(b.dist AS INT) AS dist FROM reads LEFT JOIN b ON b.id = reads.id AND b.r = 1"""
-
-
-@query(X.sql("reads").rstrip() + LOCAL_SQL)
-def local_align(spark: SparkSession, d: str) -> DataFrame:
-    return X.frame(spark, d, "reads").select("id", D.best_place(TSO, F.col("seq"), 3).alias("b")).select("id", "b.pos", "b.dist")
-
-
-ENDS_SQL = f""", h AS (SELECT id, seq, left(seq, 60) AS l, greatest(length(seq) - 60, 0) AS o FROM reads),
-l AS (SELECT id, t.p AS pos, levenshtein(substring(l, t.p, 22), '{R1}') AS dist FROM h, unnest(range(1, length(l) - 20)) AS t(p)),
-r AS (SELECT id, o + t.p AS pos, levenshtein(substring(seq, o + t.p, 22), '{X.R1_REVERSED}') AS dist FROM h, unnest(range(1, length(seq) - o - 20)) AS t(p)),
-lb AS (SELECT id, pos, row_number() OVER (PARTITION BY id ORDER BY dist, pos DESC) AS n FROM l WHERE dist <= 4),
-rb AS (SELECT id, pos, row_number() OVER (PARTITION BY id ORDER BY dist, pos DESC) AS n FROM r WHERE dist <= 4)
-SELECT h.id, CAST(lb.pos AS INT) AS left_pos, CAST(rb.pos AS INT) AS right_pos FROM h LEFT JOIN lb ON lb.id = h.id AND lb.n = 1 LEFT JOIN rb ON rb.id = h.id AND rb.n = 1"""
-
-
-@query(X.sql("reads").rstrip() + ENDS_SQL)
-def adapter_ends(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.frame(spark, d, "reads").select("id", adapters.ends(F.col("seq"), R1, 60, 4).alias("e"))
-    return rows.select("id", F.col("e.left").alias("left_pos"), F.col("e.right").alias("right_pos"))
-
-
-@query()
-def adapter_scan(spark: SparkSession, d: str) -> DataFrame:
-    both = F.array(F.struct(F.lit(0).alias("strand"), adapters.scan(F.col("seq"), R1, 4).alias("hits")), F.struct(F.lit(3).alias("strand"), adapters.scan(F.col("seq"), X.R1_REVERSED, 4).alias("hits")))
-    rows = X.frame(spark, d, "reads").select("id", F.explode(both).alias("s")).select("id", "s.strand", F.explode("s.hits").alias("h"))
-    return rows.select("id", "strand", "h.pos", "h.dist")
-
+LCS_SQL = X.sql("whitelist").rstrip().replace("WITH", "WITH RECURSIVE", 1) + PAIRS_SQL.rstrip() + """, r(ordinal, a, c, i, cells) AS (SELECT ordinal, a, c, 0, list_transform(range(0, 17), lambda x: 0) FROM p UNION ALL
+SELECT ordinal, a, c, i + 1, list_transform(range(1, 18), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest(cells[j], coalesce(list_max(list_transform(list_filter(range(2, j + 1), lambda q: substring(c, q - 1, 1) = substring(a, i + 1, 1)), lambda q: cells[q - 1] + 1)), 0)) END) FROM r WHERE i < 16)
+SELECT ordinal, CAST(list_max(cells) AS INT) AS score FROM r WHERE i = 16"""
 
-SUMMARY_SQL = f""" SELECT id, CASE WHEN id % 7 = 0 THEN '*' ELSE CAST(CASE WHEN strand = 0 THEN strpos(seq, '{R1}') ELSE strpos(seq, '{X.R1_REVERSED}') END AS STRING) END AS places FROM reads"""
 
-
-@query(X.sql("reads").rstrip() + SUMMARY_SQL)
-def adapter_summary(spark: SparkSession, d: str) -> DataFrame:
-    hits = F.concat(adapters.scan(F.col("seq"), R1, 2), adapters.scan(F.col("seq"), X.R1_REVERSED, 2))
-    return X.frame(spark, d, "reads").select("id", C.joined(F.transform(hits, lambda h: h["pos"]), ",").alias("places"))
-
-
-CENSUS = "AAAAA"
-
-
-@query(X.sql("reads") + f"SELECT id, CAST(length(seq) AS INT) AS length, CAST(len(regexp_extract_all(seq, '{R1}')) AS INT) AS n_r1, CAST(len(regexp_extract_all(seq, '{X.R1_REVERSED}')) AS INT) AS n_r1_reversed, CAST(len(regexp_extract_all(seq, '{CENSUS}')) AS INT) AS n_runs FROM reads")
-def read_census(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda w: F.size(adapters.jump_scan(F.col("seq"), w))
-    return X.frame(spark, d, "reads").select("id", F.length("seq").alias("length"), n(R1).alias("n_r1"), n(X.R1_REVERSED).alias("n_r1_reversed"), n(CENSUS).alias("n_runs"))
+@query(LCS_SQL)
+def longest_common(spark: SparkSession, d: str) -> DataFrame:
+    return pairs(spark, d).select("ordinal", D.longest_common(F.col("a"), F.col("c")).alias("score"))
 
 
 PLACES = tuple(f"case when (o_orderkey // {2 ** i}) % 2 = 1 then cast({a} as int) end as {n}" for i, (n, a) in enumerate({"ol": "10 + o_custkey % 40", "il": "12 + o_orderkey % 40", "orr": "70 + o_custkey % 30", "ir": "65 + o_orderkey % 40"}.items()))
 SIDE_SQL = f"""WITH p AS (SELECT o_orderkey AS id, {', '.join(PLACES)} FROM orders),
 c AS (SELECT *, concat(CASE WHEN il IS NULL THEN '0' ELSE '1' END, CASE WHEN ol IS NULL THEN '0' ELSE '1' END, CASE WHEN ir IS NULL THEN '0' ELSE '1' END, CASE WHEN orr IS NULL THEN '0' ELSE '1' END) AS code FROM p)
 SELECT id, code, CASE WHEN code = '0000' THEN 'none' WHEN code IN ('0101', '1001', '0110', '1010') THEN 'both' WHEN code IN ('0100', '1000') THEN 'left' WHEN code IN ('0001', '0010') THEN 'right'
- WHEN code IN ('1100', '1101', '1110') THEN CASE WHEN ol < il THEN 'left' ELSE 'wrong' END WHEN code IN ('0011', '0111', '1011') THEN CASE WHEN ir < orr THEN 'right' ELSE 'wrong' END
- WHEN ol < il AND ir >= orr THEN 'left' WHEN ol >= il AND ir < orr THEN 'right' ELSE 'both' END AS side FROM c"""
+ WHEN code IN ('1100', '1101', '1110') THEN CASE WHEN ol <= il THEN 'left' ELSE 'wrong' END WHEN code IN ('0011', '0111', '1011') THEN CASE WHEN ir <= orr THEN 'right' ELSE 'wrong' END
+ WHEN il < ol AND ir < orr THEN 'right' WHEN il > ol AND ir > orr THEN 'left' ELSE 'both' END AS side FROM c"""
 
 
 @query(SIDE_SQL)
@@ -200,7 +155,7 @@ def status_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 COMPLEX = "cast(10 + l_quantity * 3 as int)"
-COMPLEX_SQL = f"""WITH a AS (SELECT l_orderkey AS id, list(struct_pack(pos := {COMPLEX} + l_linenumber * 40, strand := CASE WHEN (l_partkey + l_linenumber) % 2 = 0 THEN 0 ELSE 3 END) ORDER BY l_linenumber) AS x FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey),
+COMPLEX_SQL = f"""WITH a AS (SELECT l_orderkey AS id, list(struct_pack(pos := {COMPLEX} + l_linenumber * 40, strand := CASE WHEN (l_partkey + l_linenumber) % 2 = 0 THEN 0 ELSE 3 END) ORDER BY l_linenumber) AS x FROM lineitem GROUP BY l_orderkey),
 b AS (SELECT id, list_sort(x) AS x FROM a) SELECT id, CASE WHEN len(x) = 2 THEN CASE WHEN x[1].strand = x[2].strand THEN CASE WHEN x[2].pos - x[1].pos > 50 THEN 'Chimera' ELSE 'R1a_duplication' END
  WHEN x[1].strand = 0 THEN CASE WHEN x[2].pos - x[1].pos > 100 THEN 'Dual_header' ELSE 'Others' END ELSE CASE WHEN x[2].pos - x[1].pos < 100 THEN 'Anti_dual_header' ELSE 'Others' END END
  WHEN len(x) > 2 THEN CASE WHEN len(list_distinct(list_transform(x, lambda e: e.strand))) = 1 THEN 'Chimera' ELSE 'Others' END END AS class FROM b"""
@@ -209,7 +164,7 @@ b AS (SELECT id, list_sort(x) AS x FROM a) SELECT id, CASE WHEN len(x) = 2 THEN
 @query(COMPLEX_SQL)
 def complex_class(spark: SparkSession, d: str) -> DataFrame:
     one = F.struct((F.expr(COMPLEX) + F.col("l_linenumber") * 40).alias("pos"), F.when((F.col("l_partkey") + F.col("l_linenumber")) % 2 == 0, 0).otherwise(3).alias("strand"))
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(one)).alias("a"))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(one)).alias("a"))
     return rows.select("id", adapters.complex_class(F.col("a")).alias("class"))
 
 
@@ -277,19 +232,19 @@ def strand_codecs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "strand", C.strand_code(F.col("strand")).alias("code"))
 
 
-COV = "(SELECT hit, start AS s1, end_ AS e1, start + 50 AS s2, end_ + quantity - 30 AS e2, strand FROM hits WHERE quantity > 9)"
+COV = "(SELECT hit, start AS s1, end_ AS e1, start + 20 AS s2, end_ + quantity - 20 AS e2, strand FROM hits)"
 
 
 @query(X.sql("hits") + f"SELECT hit, round(greatest(0, least(e1, e2) - greatest(s1, s2) + 1) / (e1 - s1 + 1), 6) AS covered, s2 >= s1 AND e2 <= e1 AS inside FROM {COV}")
 def interval_cov(spark: SparkSession, d: str) -> DataFrame:
-    s1, e1, s2, e2 = F.col("start"), F.col("end"), F.col("start") + 50, F.col("end") + F.col("quantity") - 30
-    return X.frame(spark, d, "hits").where("quantity > 9").select("hit", F.round(I.coverage(s1, e1, s2, e2), 6).alias("covered"), I.contains(s2, e2, s1, e1).alias("inside"))
+    s1, e1, s2, e2 = F.col("start"), F.col("end"), F.col("start") + 20, F.col("end") + F.col("quantity") - 20
+    return X.frame(spark, d, "hits").select("hit", F.round(I.coverage(s1, e1, s2, e2), 6).alias("covered"), I.contains(s2, e2, s1, e1).alias("inside"))
 
 
 @query(X.sql("hits") + f"SELECT hit, CAST(CASE WHEN least(e1, e2) < greatest(s1, s2) THEN 99999 WHEN strand = '+' THEN abs(s1 - s2) ELSE abs(e1 - e2) END AS INT) AS five, CAST(CASE WHEN least(e1, e2) < greatest(s1, s2) THEN 99999 WHEN strand = '+' THEN abs(e1 - e2) ELSE abs(s1 - s2) END AS INT) AS three FROM {COV}")
 def overhang(spark: SparkSession, d: str) -> DataFrame:
-    at = (F.col("start"), F.col("end"), F.col("start") + 50, F.col("end") + F.col("quantity") - 30, F.col("strand") == "+")
-    return X.frame(spark, d, "hits").where("quantity > 9").select("hit", I.overhang(*at, 5).alias("five"), I.overhang(*at, 3).alias("three"))
+    at = (F.col("start"), F.col("end"), F.col("start") + 20, F.col("end") + F.col("quantity") - 20, F.col("strand") == "+")
+    return X.frame(spark, d, "hits").select("hit", I.overhang(*at, 5).alias("five"), I.overhang(*at, 3).alias("three"))
 
 
 SCORE_SQL = """WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'unspliced' WHEN 1 THEN 'G(fsm/ism=>1>2>3>)' WHEN 2 THEN 'G(novel=>1>-1>3>)' ELSE 'G(novel=>-1>-1>)' END AS tag, CAST(p_size * 97 AS INT) AS s, p_partkey % 6 + 1 AS hits FROM part)
@@ -309,12 +264,9 @@ SELECT user_id, CAST(pos AS INT) AS pos, min(value) OVER w AS lower, max(value)
 
 @query(ENVELOPE_SQL)
 def envelope(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("pos", F.row_number().over(order))
-    near = Window.partitionBy("user_id").orderBy("pos").rowsBetween(-3, 3)
-    return rows.select("user_id", "pos", F.min("value").over(near).alias("lower"), F.max("value").over(near).alias("upper"))
+    rows = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"].cast("double")).alias("values"))
+    both = dtw.envelopes(rows, "values").select("user_id", F.posexplode(F.arrays_zip("lower", "upper")).alias("p", "e"))
+    return both.select("user_id", (F.col("p") + 1).alias("pos"), "e.lower", "e.upper")
 
 
 @query(X.sql("whitelist") + "SELECT ordinal, CAST(p AS INT) AS pos, CAST(" + " + ".join(f"(strpos('ACGT', substring(barcode, p + {i}, 1)) - 1) * {4 ** (5 - i)}" for i in range(6)) + " AS INT) % 97 - CAST(48.5 AS DOUBLE) AS level FROM whitelist, unnest(range(1, 12)) AS t(p)")
@@ -325,7 +277,26 @@ def level_series(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dtw_rescue(spark: SparkSession, d: str) -> DataFrame:
-    """Of reads whose barcode no exact match gives."""
+    """Of reads whose barcode no exact match gives. A recursion over pairs of levels in a band, which the tests hold against a plain one."""
     reads, whitelist = X.frame(spark, d, "reads"), X.frame(spark, d, "whitelist")
     exact = barcode.exact_matches(barcode.read_kmers(reads, 16), whitelist)
     return dtw.rescue(reads.join(exact, "id", "left_anti"), whitelist, dtw.demo_model())
+
+
+@query(X.sql("whitelist") + f", q AS (SELECT ordinal, {QUAL} AS q FROM whitelist) SELECT ordinal, CAST(p AS INT) AS pos, CAST(ascii(substring(q, p + 5, 1)) AS INT) AS code FROM q, unnest(range(1, 28)) AS t(p)")
+def kmer_quality(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.frame(spark, d, "whitelist").select("ordinal", F.posexplode(S.last_quality(F.expr(QUAL))).alias("p", "code"))
+    return rows.select("ordinal", (F.col("p") + 1).alias("pos"), "code")
+
+
+CELLS = ("concat(case when quantity % 3 = 0 then '-' else '' end, '0.', quantity, ',1,', ord)", "concat(ord, ',', quantity, ';', quantity + 1, ',', ord)")
+CELLS_SQL = f"""SELECT hit, round(CASE WHEN quantity % 3 = 0 THEN 0 ELSE CAST('0.' || quantity AS DOUBLE) END + 1 + ord, 6) AS covered, CAST(2 * ord + 2 * quantity + 1 AS INT) AS total, CAST(2 AS INT) AS n_groups, concat(ord, ',', quantity, ';', quantity + 1, ',', ord) AS groups_text FROM hits"""
+
+
+@query(X.sql("hits") + CELLS_SQL)
+def list_codecs(spark: SparkSession, d: str) -> DataFrame:
+    """Coverages, whole numbers and groups of hits, read from their cells and summed."""
+    rows = X.frame(spark, d, "hits").selectExpr("hit", f"{CELLS[0]} as covs", f"{CELLS[1]} as cell")
+    rows = rows.select("hit", C.coverages(F.col("covs")).alias("covs"), C.hit_groups(F.col("cell")).alias("g"), C.integers(F.regexp_replace("cell", ";", ",")).alias("ints"))
+    add = lambda c, zero: F.aggregate(c, zero, lambda a, x: a + x)
+    return rows.select("hit", F.round(add("covs", F.lit(0.0)), 6).alias("covered"), add("ints", F.lit(0)).alias("total"), F.size("g").alias("n_groups"), C.hit_groups_text(F.col("g")).alias("groups_text"))

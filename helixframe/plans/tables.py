@@ -1,101 +1,15 @@
-"""Queries on barcodes, counts, clones, and the whole pipeline."""
+"""Queries on clones, sets and annotations."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.functions import sequence as S
-from helixframe.operators import adapters, barcode, calls, clones
-from helixframe.operators.chemistry import R1
+from helixframe.operators import annotate, calls, clones
 from helixframe.plans import fixtures as X
 from helixframe.plans.registry import query
 
 
-def oriented(spark: SparkSession, d: str) -> DataFrame:
-    """id, seq with the adapter at its left end, r1: its place, of reads in which it is found."""
-    rows = S.once(X.frame(spark, d, "reads"), "e", adapters.ends(F.col("seq"), R1, 60, 2))
-    forward = F.col("e.left").isNotNull()
-    seq = F.when(forward, F.col("seq")).otherwise(S.reverse_complement(F.col("seq")))
-    r1 = F.when(forward, F.col("e.left")).otherwise(F.length("seq") - (F.col("e.right") + len(R1) - 1) + 1)
-    return rows.select("id", seq.alias("seq"), r1.alias("r1")).where("r1 is not null")
-
-
-def window_kmers(spark: SparkSession, d: str, mismatches: int = 2) -> DataFrame:
-    at = F.col("r1") + len(R1)
-    return barcode.read_kmers(oriented(spark, d), 16, at - mismatches, at + mismatches)
-
-
-# The windows of the right orientation, found by the exact adapter; reads whose adapter has edits don't occur in these fixtures.
-KMERS = f""", o AS (SELECT id, CASE WHEN contains(left(seq, 60), '{R1}') THEN seq WHEN contains(right(seq, 60), '{X.R1_REVERSED}') THEN translate(reverse(seq), 'ACGT', 'TGCA') END AS seq FROM reads),
-k AS (SELECT id, t.p AS pos, substring(seq, t.p, 16) AS kmer FROM o, unnest(range(strpos(seq, '{R1}') + 20, strpos(seq, '{R1}') + 25)) AS t(p) WHERE seq IS NOT NULL AND t.p + 15 <= length(seq)),
-words AS (SELECT ordinal, barcode, 0 AS strand, barcode AS word FROM whitelist UNION ALL SELECT ordinal, barcode, 3, translate(reverse(barcode), 'ACGT', 'TGCA') FROM whitelist)"""
-EXACT = ", x AS (SELECT id, pos, strand, ordinal, barcode FROM k JOIN words ON kmer = word)"
-
-
-@query(X.sql("reads", "whitelist").rstrip() + KMERS + EXACT + " SELECT id, CAST(pos AS INT) AS pos, CAST(strand AS INT) AS strand, ordinal, barcode FROM x")
-def barcode_exact(spark: SparkSession, d: str) -> DataFrame:
-    return barcode.exact_matches(window_kmers(spark, d), barcode.checked_whitelist(X.frame(spark, d, "whitelist")))
-
-
-def semiglobal(a: str, b: str) -> str:
-    ways = [f"levenshtein(left({a}, {16 - t}), {b})" for t in range(3)] + [f"levenshtein({a}, left({b}, {16 - t}))" for t in range(1, 3)]
-    return f"least({', '.join(ways)})"
-
-
-SEED = ((1, 6), (7, 5), (12, 5))
-FUZZY = (
-    ", c AS ("
-    + " UNION ".join(f"SELECT id, pos, kmer, ordinal, barcode, strand, word FROM k JOIN words ON substring(kmer, {s}, {n}) = substring(word, {s}, {n})" for s, n in SEED)
-    + f"), z AS (SELECT id, pos, strand, ordinal, barcode, {semiglobal('kmer', 'word')} AS edits FROM c WHERE {semiglobal('kmer', 'word')} <= 2)"
-)
-
-
-def fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    return barcode.fuzzy_matches(window_kmers(spark, d), barcode.checked_whitelist(X.frame(spark, d, "whitelist")), 16, 2)
-
-
-@query(X.sql("reads", "whitelist").rstrip() + KMERS + FUZZY + " SELECT id, CAST(pos AS INT) AS pos, CAST(strand AS INT) AS strand, ordinal, barcode, CAST(edits AS INT) AS edits FROM z")
-def barcode_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    return fuzzy(spark, d)
-
-
-BEST = """, b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY edits, pos, ordinal, strand, barcode) AS n, len(list_distinct(list(barcode) OVER (PARTITION BY id))) AS n_barcodes FROM z)"""
-
-
-@query(X.sql("reads", "whitelist").rstrip() + KMERS + FUZZY + BEST + " SELECT id, barcode, CAST(pos AS INT) AS pos, CAST(strand AS INT) AS strand, CAST(edits AS INT) AS edits, CAST(n_barcodes AS BIGINT) AS n_barcodes FROM b WHERE n = 1")
-def barcode_best(spark: SparkSession, d: str) -> DataFrame:
-    return barcode.best_barcode(fuzzy(spark, d))
-
-
-COUNTS = X.sql("reads", "whitelist").rstrip() + KMERS + FUZZY + BEST + " SELECT barcode, count(*) AS n_reads FROM b WHERE n = 1 GROUP BY barcode"
-
-
-@query(COUNTS)
-def counts(spark: SparkSession, d: str) -> DataFrame:
-    return barcode.barcode_counts(barcode.best_barcode(fuzzy(spark, d)))
-
-
-PIPELINE = (
-    X.sql("reads", "whitelist", "hits").rstrip()
-    + KMERS
-    + FUZZY
-    + BEST
-    + """, g0 AS (SELECT id, min(quantity) AS best FROM hits GROUP BY id), g AS (SELECT h.id, min(concat('G', partkey)) AS gene FROM hits h JOIN g0 ON g0.id = h.id AND quantity = best GROUP BY h.id HAVING count(*) = 1)
-SELECT barcode, gene, count(*) AS n FROM b JOIN g USING (id) WHERE b.n = 1 GROUP BY barcode, gene"""
-)
-
-
-@query(PIPELINE)
-def pipeline_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Reads to barcodes by adapter and fuzzy match, to genes by their best hit, counted."""
-    best = F.min("quantity").over(Window.partitionBy("id"))
-    hits = X.frame(spark, d, "hits").withColumn("best", best).where("quantity = best")
-    genes = hits.groupBy("id").agg(F.count("*").alias("n"), F.min(F.concat(F.lit("G"), F.col("partkey"))).alias("gene")).where("n = 1")
-    called = barcode.best_barcode(fuzzy(spark, d))
-    return clones.gene_counts(called.join(genes.select("id", "gene"), "id"))
-
-
 MEMBERS = ", m AS (SELECT clone, string_split(read, '_')[2] AS barcode FROM clones)"
 CLONES = [f"C{i}" for i in range(12)]
 
@@ -172,25 +86,10 @@ def msa_long(spark: SparkSession, d: str) -> DataFrame:
 
 @query(X.sql("hits") + "SELECT id, hit FROM (SELECT id, hit, row_number() OVER (PARTITION BY id ORDER BY ord DESC, hit) AS n FROM hits) WHERE n = 1")
 def latest_wins(spark: SparkSession, d: str) -> DataFrame:
-    return X.frame(spark, d, "hits").groupBy("id").agg(F.max_by("hit", F.col("ord")).alias("hit"))
+    return annotate.latest(X.frame(spark, d, "hits"), "id", "hit", "ord")
 
 
-@query(X.sql("reads", "hits") + "SELECT reads.id, coalesce(min(concat('G', partkey)), 'non-transcriptome') AS annotation, count(hit) AS n_hits FROM reads LEFT JOIN hits ON hits.id = reads.id AND hits.quantity > 25 GROUP BY reads.id")
+@query(X.sql("reads", "hits") + "SELECT reads.id, coalesce(min('G' || partkey), 'non-transcriptome') AS annotation, count(hit) AS n_hits FROM reads LEFT JOIN hits ON hits.id = reads.id AND hits.quantity > 25 GROUP BY reads.id")
 def read_annotation_join(spark: SparkSession, d: str) -> DataFrame:
-    hits = X.frame(spark, d, "hits").where("quantity > 25").select(F.col("id").alias("h_id"), "hit", F.concat(F.lit("G"), F.col("partkey")).alias("gene"))
-    rows = X.frame(spark, d, "reads").join(hits, F.col("id") == F.col("h_id"), "left")
-    return rows.groupBy("id").agg(F.coalesce(F.min("gene"), F.lit("non-transcriptome")).alias("annotation"), F.count("hit").alias("n_hits"))
-
-
-@query()
-def barcode_call(spark: SparkSession, d: str) -> DataFrame:
-    """Each read with its status, barcode and score."""
-    return calls.call(X.frame(spark, d, "reads"), barcode.checked_whitelist(X.frame(spark, d, "whitelist")))
-
-
-FOUND = "CASE WHEN id % 7 = 0 AND id % 11 = 0 THEN 'none' ELSE CASE WHEN strand = 0 THEN 'left' ELSE 'right' END END"
-
-
-@query(X.sql("reads") + f"SELECT {FOUND} AS side, count(*) AS n FROM reads GROUP BY 1")
-def read_sides(spark: SparkSession, d: str) -> DataFrame:
-    return calls.oriented(X.frame(spark, d, "reads")).groupBy("side").agg(F.count("*").alias("n"))
+    hits = X.frame(spark, d, "hits").where("quantity > 25").select("id", F.concat(F.lit("G"), F.col("partkey")).alias("gene"))
+    return calls.annotated(X.frame(spark, d, "reads").select("id"), hits)

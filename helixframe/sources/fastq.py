@@ -1,4 +1,4 @@
-"""A data source for FASTQ and FASTA, batch and streaming; each file is one partition, as gzip can't be split."""
+"""A data source for FASTQ and FASTA; each file is one partition, as gzip can't be split."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow.fs as pafs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "id string, seq string, qual string"
 
@@ -44,8 +44,12 @@ def records(lines: Iterator[str]) -> Iterator[tuple[str, str, str | None]]:
 def open_lines(path: str) -> Iterator[str]:
     fs, at = located(path)
     with fs.open_input_stream(at, compression=None) as raw:
-        text = io.TextIOWrapper(gzip.open(raw) if at.endswith(".gz") else raw, encoding="latin-1")
-        yield from (line.rstrip("\r\n") for line in text)
+        yield from lines_of(raw, at)
+
+
+def lines_of(raw: io.IOBase, name: str) -> Iterator[str]:
+    text = io.TextIOWrapper(gzip.open(raw) if name.endswith(".gz") else raw, encoding="latin-1")
+    yield from (line.rstrip("\r\n") for line in text)
 
 
 def listed(path: str) -> list[str]:
@@ -74,25 +78,6 @@ class FastqReader(DataSourceReader):
         yield from records(open_lines(partition.path))
 
 
-class FastqStream(DataSourceStreamReader):
-    """Files of a folder in order of their names, a partition each; the offset is the last one read."""
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def initialOffset(self) -> dict:  # noqa: N802
-        return {"after": ""}
-
-    def latestOffset(self) -> dict:  # noqa: N802
-        return {"after": max(listed(self.path), default="")}
-
-    def partitions(self, start: dict, end: dict) -> list[FilePart]:
-        return [FilePart(p) for p in listed(self.path) if start["after"] < p <= end["after"]]
-
-    def read(self, partition: FilePart) -> Iterator[tuple]:
-        yield from records(open_lines(partition.path))
-
-
 class FastqSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -103,6 +88,3 @@ class FastqSource(DataSource):
 
     def reader(self, schema) -> FastqReader:
         return FastqReader(self.options["path"])
-
-    def streamReader(self, schema) -> FastqStream:  # noqa: N802
-        return FastqStream(self.options["path"])

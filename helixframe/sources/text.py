@@ -1,8 +1,8 @@
-"""Readers and writers of the text formats: FASTQ and FASTA, whitelists, pore models, GTF, SAM, and tab-separated reports."""
+"""Readers and writers of the text formats: FASTQ and FASTA, whitelists, pore models, GTF and SAM."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import codec as C
@@ -28,11 +28,15 @@ def called_fastq(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("barcode").isNotNull()).select(F.concat_ws("_", F.col("id").cast("string"), "barcode", "umi").alias("id"), "seq", "qual")
 
 
-def read_whitelist(spark: SparkSession, path: str, length: int = 16) -> DataFrame:
-    """ordinal (from 1, in file order), barcode."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.trim("value").alias("barcode")).where("barcode <> ''")
-    from pyspark.sql import Window
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, and line: struct<file, block, line>, by which lines stand in the order of files' names and of their places within."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", place.alias("line"))
+
 
+def read_whitelist(spark: SparkSession, path: str, length: int = 16) -> DataFrame:
+    """ordinal (from 1, in file order), barcode. A whitelist is one sorted partition while it is numbered; it has some million lines at most."""
+    lines = read_lines(spark, path).select("line", F.trim("value").alias("barcode")).where("barcode <> ''")
     numbered = lines.select(F.row_number().over(Window.orderBy("line")).alias("ordinal"), "barcode")
     return checked_whitelist(numbered, length)
 
@@ -67,7 +71,7 @@ def read_gtf(spark: SparkSession, path: str, loose: bool = False) -> DataFrame:
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """ord (rising in file order), qname, flag, ref, pos, cigar, strand, sa (struct), spliced, segments, span of each line but the header."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), "value").where(~F.col("value").startswith("@"))
+    lines = read_lines(spark, path).select(F.col("line").alias("ord"), "value").where(~F.col("value").startswith("@"))
     cells = F.split("value", "\t")
     at = lambda i: F.get(cells, F.lit(i))
     rows = lines.select("ord", at(0).alias("qname"), at(1).cast("int").alias("flag"), at(2).alias("ref"), at(3).cast("int").alias("pos"), at(5).alias("cigar"), C.supplementary(F.col("value")).alias("sa"))
@@ -87,22 +91,6 @@ def mapped(rows: DataFrame) -> DataFrame:
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """id, name; of repeated ids the last."""
-    rows = spark.read.csv(path, sep="\t", schema="id string, name string").withColumn("line", F.monotonically_increasing_id())
+    cells = F.split("value", "\t")
+    rows = read_lines(spark, path).where("value <> ''").select(cells[0].alias("id"), F.get(cells, F.lit(1)).alias("name"), "line")
     return rows.groupBy("id").agg(F.max_by("name", "line").alias("name"))
-
-
-SUMMARY = (
-    "read_id status r1_start r1_strand barcode barcode_start barcode_strand barcode_mismatch n_barcodes barcodes barcode_starts barcode_mismatches hit_regions hit_orientations tso_pos tso_strand annotation transcript barcode_score annotation_score breakpoints"
-).split()
-
-
-def write_report(rows: DataFrame, path: str, columns: list[str] | None = None, header: bool = False, mode: str = "error") -> None:
-    """Tab-separated text with the missing mark for nulls; columns that rows lack are missing throughout."""
-    columns = columns or rows.columns
-    cells = [F.coalesce(F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string"), F.lit(C.MISSING)).alias(c) for c in columns]
-    rows.select(*cells).write.mode(mode).csv(path, sep="\t", header=header, quote="", escape="")
-
-
-def read_report(spark: SparkSession, path: str, columns: list[str], header: bool = False) -> DataFrame:
-    """The same as strings, with nulls for the missing mark."""
-    return spark.read.csv(path, sep="\t", header=header, schema=", ".join(f"`{c}` string" for c in columns), nullValue=C.MISSING, quote="")

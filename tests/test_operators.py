@@ -2,15 +2,17 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import codec as C
 from helixframe.functions import distance as D
 from helixframe.functions import interval as I
+from helixframe.functions import kernels
 from helixframe.functions import sequence as S
 from helixframe.operators import adapters, annotate, barcode, calls, chimera, clones, regions
-from helixframe.operators.chemistry import R1, TSO, reverse_complement
+from helixframe.operators.chemistry import R1, TSO, Chemistry, reverse_complement
 
 
 def value(spark, column):
@@ -63,7 +65,7 @@ def test_planted_read(spark):
     bc = "AAACCTGAGCTTATCG"
     read = "GG" + R1 + bc + "ACGTACGTAC" + TSO + "CATCATCATCAT" + "A" * 14
     assert tuple(value(spark, D.best_place(R1, F.lit(read), 3))) == (3, 0) and tuple(value(spark, D.best_place(TSO, F.lit(read), 2))) == (51, 0)
-    assert value(spark, D.best_place(R1, F.lit("A" * 50), 3)) is None
+    assert value(spark, D.best_place(R1, F.lit("A" * 50), 3)).pos is None
     umi, rest = S.umi_and_insert(F.lit(read), F.lit(25), F.lit(0), F.lit(16))
     assert value(spark, umi) == "ACGTACGTAC" and value(spark, rest).startswith("CATCAT")
     back = reverse_complement(read)
@@ -71,30 +73,140 @@ def test_planted_read(spark):
     assert value(spark, umi) == "ACGTACGTAC" and value(spark, rest).startswith("CATCAT")
 
 
-def test_adapter_scan(spark):
-    def plain(seq, word, k):
-        hits = []
-        for p in range(1, len(seq) - len(word) + 2):
-            d = lev(seq[p - 1 : p - 1 + len(word)], word)
-            if d <= k:
-                if not hits or p - hits[-1][0] >= len(word):
-                    hits.append((p, d))
-                elif d < hits[-1][1]:
-                    hits[-1] = (p, d)
-        return hits
+def end_free(a, b, k):
+    """By the whole table of the recursion."""
+    n, m = len(a), len(b)
+    if k >= n or k >= m:
+        return 0
+    t = [[i + j if 0 in (i, j) else 0 for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            t[i][j] = min(t[i - 1][j] + 1, t[i][j - 1] + 1, t[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+    return min([t[i][m] for i in range(n - k, n + 1)] + [t[n][j] for j in range(m - k, m + 1)])
+
+
+def changed(rng, word):
+    """With up to three letters replaced, left out or put in, of the same length."""
+    s = list(word)
+    for _ in range(rng.randrange(4)):
+        at = rng.randrange(len(s))
+        s[at : at + 1] = rng.choice([[rng.choice("ACGT")], [], [s[at], rng.choice("ACGT")]])
+    return ("".join(s) + "ACGTACGT")[: len(word)]
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 4, 7])
+def test_tail_free_distances(k):
+    rng = random.Random(k)
+    words = [changed(rng, R1) for _ in range(150)] + ["".join(rng.choice("ACGTN") for _ in R1) for _ in range(50)]
+    rows = np.array([kernels.letters(w) for w in words])
+    want = [min(end_free(w, R1, k), k + 1) for w in words]
+    assert kernels.tail_free(rows, kernels.letters(R1), k).tolist() == want
+    assert kernels.tail_free(rows, np.tile(kernels.letters(R1), (len(words), 1)), k).tolist() == want
+    assert kernels.tail_free(rows[:3], kernels.letters("ACG"), 3).tolist() == [0, 0, 0]
+
+
+def planted(rng, word, n=6):
+    out = []
+    for _ in range(n):
+        s = "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 5, 21, 22, 90, 200])))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(s) + 1)
+            s = s[:at] + changed(rng, rng.choice([word, reverse_complement(word)])) + s[at:]
+        out.append(s)
+    return [*out, "", None, "ACGT"]
+
+
+def test_best_place(spark):
+    rng = random.Random(21)
+    seqs = planted(rng, R1, 40)
+    for first_exact in (False, True):
+        got = spark.createDataFrame([(s,) for s in seqs], "s string").select(D.best_place(R1, F.col("s"), 4, first_exact).alias("b")).select("b.*").collect()
+        for s, r in zip(seqs, got):
+            best = (None, None)
+            for p in range(1, len(s or "") - len(R1) + 2):
+                d = end_free(s[p - 1 : p + 21], R1, 4)
+                if d <= 4 and (best[0] is None or d <= best[1]) and not (first_exact and best[1] == 0):
+                    best = (p, d)
+            assert tuple(r) == best
+
+
+def plain_scan(s, regions, word, k):
+    hits, back = [], reverse_complement(word)
+    for start, end in regions:
+        closest = len(word)
+        for p in range(start, end - len(word) + 2):
+            w = s[p - 1 : p - 1 + len(word)]
+            a, b = end_free(w, word, k), end_free(w, back, k)
+            d, strand = (b, 3) if b < a else (a, 0)
+            if d > closest or d > k:
+                continue
+            closest = d
+            if hits and p - hits[-1][0] < len(word):
+                hits.pop()
+            hits.append((p, strand, d))
+    return hits
+
 
+def test_adapter_scan(spark):
     rng = random.Random(3)
-    word = "CTACACGACG"
-    seqs = []
-    for _ in range(20):
-        s = "".join(rng.choice("ACGT") for _ in range(60))
-        for at in (5, 30, 36):
-            m = list(word)
-            m[rng.randrange(10)] = rng.choice("ACGT")
-            s = s[:at] + "".join(m) + s[at + 10 :]
-        seqs.append((s,))
-    got = spark.createDataFrame(seqs, "s string").select("s", adapters.scan(F.col("s"), word, 2).alias("h")).collect()
-    assert all([tuple(x) for x in r.h] == plain(r.s, word, 2) for r in got)
+    rows = []
+    for s in planted(rng, R1, 30):
+        n = len(s or "")
+        cuts = sorted(rng.sample(range(1, n), 2)) if n > 30 else []
+        rows.append((s, [(1, cuts[0]), (cuts[0] + 1, cuts[1]), (cuts[1] + 1, n)] if cuts else []))
+    df = spark.createDataFrame(rows, "s string, r array<struct<start:int,end:int>>")
+    got = df.select(adapters.scan(F.col("s"), R1, 4).alias("whole"), adapters.scan(F.col("s"), R1, 4, F.col("r")).alias("parts")).collect()
+    for (s, r), g in zip(rows, got):
+        assert [tuple(x) for x in g.whole] == plain_scan(s or "", [(1, len(s or ""))], R1, 4)
+        assert [tuple(x) for x in g.parts] == plain_scan(s or "", r, R1, 4)
+
+
+def test_census(spark):
+    rng = random.Random(5)
+    seqs = planted(rng, TSO, 25)
+    got = spark.createDataFrame([(s,) for s in seqs], "s string").select(adapters.jump_scan(F.col("s"), TSO, 1).alias("h")).collect()
+    back = reverse_complement(TSO)
+    for s, g in zip(seqs, got):
+        want, p = [], 1
+        while p <= len(s or "") - len(TSO) + 1:
+            w = s[p - 1 : p - 1 + len(TSO)]
+            way = 1 if end_free(w, TSO, 1) <= 1 else -1 if end_free(w, back, 1) <= 1 else 0
+            want += [(p, way)] if way else []
+            p += len(TSO) if way else 1
+        assert [tuple(x) for x in g.h] == want
+
+
+def test_match_in_memory_equals_joins(spark):
+    """Both ways, and brute force over all k-mers and barcodes."""
+    rng = random.Random(31)
+    names = ["".join(rng.choice("ACGT") for _ in range(16)) for _ in range(40)] + ["ACGTACGTACGTACGT"] * 2
+    white = spark.createDataFrame([(i + 1, b) for i, b in enumerate(names)], "ordinal long, barcode string")
+    rows = []
+    for i in range(60):
+        b = changed(rng, names[i % 42]) if i % 3 else names[i % 42]
+        w = "".join(rng.choice("ACGT") for _ in range(rng.randrange(8))) + (b if i % 2 else reverse_complement(b)) + "".join(rng.choice("ACGT") for _ in range(rng.randrange(6)))
+        rows.append((i, w, 5 + i, 0 if i % 2 else 3))
+    rows += [(90, None, None, None), (91, "ACG", 1, 0), (92, "N" * 20, 1, 3)]
+    df = spark.createDataFrame(rows, "id int, window string, pos int, strand int")
+    for exact_first in (True, False):
+        got = {r.id: [tuple(x) for x in r.found] for r in barcode.match(df, white, exact_first=exact_first).collect()}
+        joined = {r.id: [tuple(x) for x in r.found] for r in barcode.matched_by_join(df, white, 16, 2, exact_first).collect()}
+        want = {}
+        for i, w, first, strand in rows:
+            every = []
+            for at in range(len(w or "") - 15):
+                k = w[at : at + 16]
+                for o, n in enumerate(names):
+                    word = n if strand == 0 else reverse_complement(n)
+                    if any(k[s : s + m] == word[s : s + m] for s, m in ((0, 6), (6, 5), (11, 5))) and (d := end_free(k, word, 2)) <= 2:
+                        every.append((d, first + at, o + 1, n))
+            if exact_first and any(x[0] == 0 for x in every if x[3] in (w[x[1] - first : x[1] - first + 16], reverse_complement(w[x[1] - first : x[1] - first + 16]))):
+                every = [x for x in every if w[x[1] - first : x[1] - first + 16] == (x[3] if strand == 0 else reverse_complement(x[3]))]
+            best = {}
+            for x in sorted(every):
+                best.setdefault(x[3], x)
+            want[i] = sorted(best.values())
+        assert got == want and joined == want
 
 
 def test_complex_class(spark):
@@ -203,5 +315,75 @@ def test_call(spark):
         want[i] = ("fine", b, 0 if i % 3 else 1, 0 if i % 3 else 20)
     rows += [(50, "ACGT" * 60), (51, "ACGT"), (52, "GG" + R1 + "ACGT" * 40 + reverse_complement(R1) + "CC")]
     got = {r.id: r for r in calls.call(spark.createDataFrame(rows, "id long, seq string"), white).collect()}
-    assert {i: (got[i].status, got[i].barcode, got[i].edits, got[i].score) for i in want} == want
+    assert {i: (got[i].status, got[i].barcode, got[i].barcode_mismatch, got[i].barcode_score) for i in want} == want
     assert (got[50].status, got[51].status, got[52].status) == ("ICS_R1_missing", "Read_too_short", "Dual_header")
+
+
+def test_call_of_three_prime(spark):
+    """UMIs of 12, poly-T as inner adapter; a barcode found by the inner adapter alone."""
+    rng = random.Random(18)
+    names = ["".join(rng.choice("ACGT") for _ in range(16)) for _ in range(5)]
+    white = spark.createDataFrame(list(enumerate(names)), "ordinal long, barcode string")
+    body = "".join(rng.choice("ACG") for _ in range(220))
+    rows = [(0, "GG" + R1 + names[0] + "ACGACGACGACG" + "T" * 13 + body), (1, "G" * 12 + names[1] + "ACGACGACGACG" + "T" * 13 + body)]
+    rows += [(i + 2, reverse_complement(s)) for i, s in rows]
+    got = {r.id: r for r in calls.call(spark.createDataFrame(rows, "id long, seq string"), white, Chemistry(tech=3)).collect()}
+    assert {i: (r.status, r.barcode, r.barcode_strand) for i, r in got.items()} == {0: ("fine", names[0], "forward"), 1: ("fine", names[1], "forward"), 2: ("fine", names[0], "reverse"), 3: ("fine", names[1], "reverse")}
+    assert Chemistry(tech=3).tso_edits == 6 and len(Chemistry(tech=3).tso) == 30
+
+
+def test_warping_in_calls(spark):
+    rng = random.Random(19)
+    names = ["".join(rng.choice("ACGT") for _ in range(16)) for _ in range(6)]
+    white = spark.createDataFrame(list(enumerate(names)), "ordinal long, barcode string")
+    far = "".join(b if j % 5 else {"A": "C", "C": "G", "G": "T", "T": "A"}[b] for j, b in enumerate(names[2]))  # four bases replaced
+    reads = spark.createDataFrame([(0, "GG" + R1 + far + "ACGTACGTAC" + TSO + "CTGCATGC" * 25), (1, "ACGT" * 60)], "id long, seq string")
+    from helixframe.operators import dtw
+
+    got = {r.id: r for r in calls.call(reads, white, model=dtw.demo_model()).collect()}
+    assert got[1].status == "ICS_R1_missing" and got[0].status in ("fine_DTW", "Barcode_missing")
+    assert got[0].status != "fine_DTW" or (got[0].barcode_start is None and got[0].barcode_score == got[0].barcode_mismatch)
+
+
+def hit_of(start, end, gene, score, orient=0, tag="unspliced", strand=0):
+    return (start, end, orient, 1000 + start, 1000 + end, strand, gene, None, tag, score)
+
+
+@pytest.mark.parametrize(
+    ("hits", "occupied", "pos", "want"),
+    [
+        ([], [(1, 9)], 5, ("Odds_x", None, [])),
+        ([hit_of(50, 90, "A", 7)], [(50, 90)], 10, ("A", 0, [])),
+        ([hit_of(50, 90, "A", 7, orient=3)], [(50, 90)], 10, ("Non-transcriptome", 999999, [])),
+        ([hit_of(50, 90, "A", 7)], [(40, 45), (50, 90)], 10, ("Odds0", None, [])),
+        ([hit_of(50, 90, "A", 7), hit_of(120, 150, "B", 9)], [(50, 90), (120, 150)], 100, ("B", 9, [])),
+        ([hit_of(50, 90, "A", 7), hit_of(55, 95, "B", 9)], [(50, 95)], 10, ("A", 7, [])),
+        ([hit_of(50, 90, "A", 7), hit_of(55, 95, "B", 7)], [(50, 95)], 10, ("Ambiguous_mapping", 999999, [])),
+        ([hit_of(50, 60, "A", 7), hit_of(61, 70, "B", 7, strand=3), hit_of(71, 95, "C", 7)], [(50, 95)], 10, ("Fusion: A::B::C", None, [1060, 1070, 1061, 1071])),
+    ],
+)
+def test_read_annotation(spark, hits, occupied, pos, want):
+    row = spark.createDataFrame([(hits, occupied)], f"hits {calls.HITS}, occupied {calls.REGIONS}")
+    got = row.select(annotate.read_annotation(F.col("hits"), F.col("occupied"), F.lit(pos), F.lit(0)).alias("a")).first().a
+    assert (got.annotation, got.score, got.breakpoints) == want
+
+
+def test_more_functions(spark):
+    assert value(spark, I.same_exons(F.array(*map(F.lit, (1, 2))), F.array(*map(F.lit, (2, 1))))) and not value(spark, I.contains_exons(F.array(*map(F.lit, (1, 2))), F.array(*map(F.lit, (2, 2)))))
+    feature = lambda s, e, n: F.struct(F.lit(s).alias("start"), F.lit(e).alias("end"), F.lit(n).alias("id"))
+    assert value(spark, annotate.choose_feature(F.lit(10), F.lit(30), F.array(feature(1, 30, "a"), feature(12, 30, "b"), feature(5, 30, "c")))) == "b"
+    assert S.word_sizes(16, 2) == [6, 5, 5]
+    cut = value(spark, S.trimmed(F.lit("AACCGGTTACGT"), F.lit("abcdefghijkl"), F.lit(1), F.lit(0), F.lit(1), 5))
+    assert (cut.umi, cut.seq, cut.qual) == ("ACCGGTTACG", "T", "l")
+    cut = value(spark, S.trimmed(F.lit("A" * 20 + "C"), F.lit("abcdefghijklmnopqrstu"), F.lit(18), F.lit(3), F.lit(3), 3))
+    assert (cut.umi, cut.seq, cut.qual) == ("T" * 12, "AAAAA", "abcde")
+    nearest = value(spark, regions.nearest_region(F.lit(50), F.lit(True), F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((10, 20), (60, 70)))), behind=True))
+    assert nearest.start == 10
+    rows = spark.createDataFrame([("a", 90.0, 91.0, "Yes"), ("b", 90.0, 91.0, "No"), ("c", None, 91.0, "Yes"), ("d", 80.0, 91.0, "Yes")], "id string, v_identity double, j_identity double, productive string")
+    assert [r.id for r in clones.passing(rows, 85, productive=True).collect()] == ["a"] and clones.passing(rows, 85).count() == 2
+
+
+def test_split_reports(spark):
+    rows = spark.createDataFrame([("x", "ACGTAC", "123456", 3, 2, "split"), ("y", "GG", "12", 1, None, "read_too_short")], "id string, seq string, qual string, barcode_start int, cut int, verdict string")
+    assert sorted(map(tuple, chimera.split_report(rows).collect())) == [("x", "x-1,-2", 3, 2, "splited"), ("y", "y", 1, -1, "read_too_short")]
+    assert sorted(map(tuple, chimera.raw_parts(rows, F.lit(False)).collect())) == [("x-1", "GTAC", "3456"), ("x-2", "AC", "12"), ("y", "GG", "12")]
