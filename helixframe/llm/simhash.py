@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 #: For similarity: classes in which shingles are counted for their order, members of each key that the others meet first, round by round, and members of a key in a block.
-CLASSES, LEADERS, BLOCK = 1 << 16, (1, 4, 32), 1000
+CLASSES, LEADERS, BLOCK = 1 << 16, (2, 32), 1000
 #: Words of a wide fingerprint, and the bits by which two may differ that are compared in full. Sets with a similarity of 0.8 differ in 39 of 256 bits, with a standard
 #: deviation of 6, and in 48 if they are very small; 96 is beyond seven deviations.
 WIDE, FAR = 4, 96
@@ -292,7 +292,7 @@ def similar_groups(rows: DataFrame, sets: DataFrame, similarity: float) -> DataF
     """node, label: the connected components of all similar pairs. rows: id, n, shared (array<struct<at, key>>); sets: id, print, hashes.
 
     Some rounds link members with a few of each key, so that groups of copies become one label; then all members of different labels are compared."""
-    found, labels = None, None
+    labels = None
     for turn in range(len(LEADERS) + 1):
         table = labelled(rows, labels)
         pairs = leader_pairs(table, turn, similarity) if turn < len(LEADERS) else all_pairs(divided(table), similarity)
@@ -300,14 +300,26 @@ def similar_groups(rows: DataFrame, sets: DataFrame, similarity: float) -> DataF
         free(rows.sparkSession)
         new = materialise(similar(near, sets, similarity), "similar-links")
         discard(near)
-        if labels is None or not new.isEmpty():
-            found = new if found is None else found.union(new)
-            before, labels = labels, materialise(components(found), "similar-labels")
-            discard(before)
+        before, labels = labels, grown(labels, new)
+        discard(before, new)
         free(rows.sparkSession)
     return labels
 
 
+def grown(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, label after more links (src, dst) between members of different labels: the components of their labels, by which the labels are renamed."""
+    if labels is None:
+        return materialise(components(links), "similar-labels")
+    edges = links
+    for end in ("src", "dst"):
+        known = labels.select(F.col("node").alias("k_node"), F.col("label").alias("k_label"))
+        edges = edges.join(known, F.col(end) == F.col("k_node"), "left").withColumn(end, F.coalesce("k_label", end)).drop("k_node", "k_label")
+    joined = components(materialise(edges.select("src", "dst"), "similar-label-links")).select(F.col("node").alias("j_node"), F.col("label").alias("j_label"))
+    fresh_ones = joined.join(labels.select("node"), F.col("j_node") == F.col("node"), "left_anti").select(F.col("j_node").alias("node"), F.col("j_label").alias("label"))
+    renamed = labels.join(joined, F.col("label") == F.col("j_node"), "left").select("node", F.coalesce("j_label", "label").alias("label"))
+    return materialise(renamed.union(fresh_ones), "similar-labels")
+
+
 def keep_one_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of similar ones, the one of smallest id, with all its columns.
 
