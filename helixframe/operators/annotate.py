@@ -55,36 +55,36 @@ def read_annotation(hits: Column, occupied: Column, pos: Column, strand: Column,
     alone = F.size(hits) == 1
     forward, at = wanted == S.FORWARD, F.when(alone, pos - 1).otherwise(pos)
     region = regions.nearest_region(at, forward, occupied, behind)
-    within = lambda h: (F.size(occupied) == 1) | F.coalesce((h["start"] >= region["start"]) & (h["end"] <= region["end"]), F.lit(False))
-    valid = F.filter(hits, lambda h: (h["orient"] == wanted) & within(h))
-    marked = F.transform(valid, lambda h: F.struct(annotation_score(h["transcript"], h["score"], F.size(hits)).alias("score"), annotation_name(h["gene_id"], h["gene_name"]).alias("gene"), h["transcript"].alias("transcript")))
-    best = F.array_min(F.transform(marked, lambda m: m["score"]))
-    winners = F.filter(marked, lambda m: m["score"] == best)
+    within = lambda h, r: (F.size(occupied) == 1) | F.coalesce((h["start"] >= r["start"]) & (h["end"] <= r["end"]), F.lit(False))
     text, whole = F.lit(None).cast("string"), F.lit(None).cast("int")
     none = F.array().cast("array<int>")
 
     def out(annotation: Column, transcript: Column = text, score: Column = whole, breakpoints: Column = none) -> Column:
         return F.struct(annotation.alias("annotation"), transcript.alias("transcript"), score.cast("int").alias("score"), breakpoints.alias("breakpoints"))
 
-    def points(h: Column, i: Column) -> Column:
-        ahead = h["r_strand"] == h["orient"]
-        entry, leave = F.when(ahead, h["r_start"]).otherwise(h["r_end"]), F.when(ahead, h["r_end"]).otherwise(h["r_start"])
-        return F.when(i == 0, F.array(leave)).when(i == F.size(valid) - 1, F.array(entry)).otherwise(F.array(entry, leave))
-
-    fusion = F.concat(F.lit("Fusion: "), F.array_join(F.transform(marked, lambda m: m["gene"]), "::"))
-    first = F.get(winners, F.lit(0))
-    gene = out(first["gene"], first["transcript"], first["score"])
-    odd = (F.size(hits) == 0) | (F.size(occupied) == 0)
-    outside = alone & (F.size(occupied) > 1) & ~F.coalesce(within(F.get(hits, F.lit(0))), F.lit(False))
-    unusable = F.lit(UNUSABLE)
-    return (
-        F.when(odd, out(F.lit("Odds_x")))
-        .when(outside, out(F.lit("Odds0")))
-        .when(F.size(valid) == 0, out(F.lit("Non-transcriptome"), score=unusable))
-        .when((F.size(valid) > 1) & is_fusion(valid), out(fusion, breakpoints=F.flatten(F.transform(valid, points))))
-        .when(F.size(winners) == 1, gene)
-        .otherwise(out(F.lit("Ambiguous_mapping"), score=unusable))
-    )
+    def of_valid(valid: Column) -> Column:
+        def points(h: Column, i: Column) -> Column:
+            ahead = h["r_strand"] == h["orient"]
+            entry, leave = F.when(ahead, h["r_start"]).otherwise(h["r_end"]), F.when(ahead, h["r_end"]).otherwise(h["r_start"])
+            return F.when(i == 0, F.array(leave)).when(i == F.size(valid) - 1, F.array(entry)).otherwise(F.array(entry, leave))
+
+        marked = F.transform(valid, lambda h: F.struct(annotation_score(h["transcript"], h["score"], F.size(hits)).alias("score"), annotation_name(h["gene_id"], h["gene_name"]).alias("gene"), h["transcript"].alias("transcript")))
+
+        def of_marked(m: Column) -> Column:
+            winners = F.filter(m, lambda x: x["score"] == F.array_min(F.transform(m, lambda y: y["score"])))
+            fusion = F.concat(F.lit("Fusion: "), F.array_join(F.transform(m, lambda x: x["gene"]), "::"))
+            first = lambda w: out(F.get(w, F.lit(0))["gene"], F.get(w, F.lit(0))["transcript"], F.get(w, F.lit(0))["score"])
+            best = S.let(winners, lambda w: F.when(F.size(w) == 1, first(w)).otherwise(out(F.lit("Ambiguous_mapping"), score=F.lit(UNUSABLE))))
+            return F.when((F.size(valid) > 1) & is_fusion(valid), out(fusion, breakpoints=F.flatten(F.transform(valid, points)))).otherwise(best)
+
+        return F.when(F.size(valid) == 0, out(F.lit("Non-transcriptome"), score=F.lit(UNUSABLE))).otherwise(S.let(marked, of_marked))
+
+    def of_region(r: Column) -> Column:
+        outside = alone & (F.size(occupied) > 1) & ~F.coalesce(within(F.get(hits, F.lit(0)), r), F.lit(False))
+        valid = F.filter(hits, lambda h: (h["orient"] == wanted) & within(h, r))
+        return F.when(outside, out(F.lit("Odds0"))).otherwise(S.let(valid, of_valid))
+
+    return F.when((F.size(hits) == 0) | (F.size(occupied) == 0), out(F.lit("Odds_x"))).otherwise(S.let(region, of_region))
 
 
 def choose_feature(start: Column, end: Column, features: Column) -> Column:
@@ -142,10 +142,9 @@ def exon_beside(segment: Column, exons: Column, least: float) -> Column:
     """The exon that a segment is held against: the first of midpoint not below its own, or, where that covers not more than least of it, the one before;
     null if there is none before."""
     middle = F.floor((segment["start"] + segment["end"]) / 2)
-    ahead = F.get(F.filter(exons, lambda x: x["key"] >= middle), F.lit(0))
-    back = F.try_element_at(F.filter(exons, lambda x: x["key"] < middle), F.lit(-1))
-    enough = ahead.isNotNull() & (I.coverage(segment["start"], segment["end"], ahead["start"], ahead["end"]) > least)
-    return F.when(enough, ahead).otherwise(back)
+    both = F.struct(F.get(F.filter(exons, lambda x: x["key"] >= middle), F.lit(0)).alias("ahead"), F.try_element_at(F.filter(exons, lambda x: x["key"] < middle), F.lit(-1)).alias("back"))
+    enough = lambda e: e.isNotNull() & (I.coverage(segment["start"], segment["end"], e["start"], e["end"]) > least)
+    return S.let(both, lambda b: F.when(enough(b["ahead"]), b["ahead"]).otherwise(b["back"]))
 
 
 def arranged(ids: Column) -> Column:
@@ -157,25 +156,28 @@ def isoform(segments: Column, spliced: Column, model: Column, plus: Column, gene
     or unspliced for others. least: the share that must cover, for spliced hits both ways."""
     exons, transcripts = model["exons"], model["transcripts"]
 
-    def own(s: Column) -> Column:
-        e = exon_beside(s, exons, least)
-        both = (I.coverage(s["start"], s["end"], e["start"], e["end"]) > least) & (I.coverage(e["start"], e["end"], s["start"], s["end"]) > least)
-        return F.when(e.isNotNull() & both, e["id"]).otherwise(F.lit(-1))
-
-    ids = F.transform(segments, own)
-    ids = F.when(plus, ids).otherwise(F.reverse(ids))
-    text = arranged(ids)
-    found = F.filter(transcripts, lambda t: arranged(t["exons"]).contains(text))
+    covers = lambda a, b: I.coverage(a["start"], a["end"], b["start"], b["end"]) > least
+    own = lambda s: S.let(exon_beside(s, exons, least), lambda e: F.when(e.isNotNull() & covers(s, e) & covers(e, s), e["id"]).otherwise(F.lit(-1)))
     tagged = lambda name, tag, body: F.concat(name, F.lit(f"({tag}="), body, F.lit(")"))
-    many = F.when(F.array_contains(ids, F.lit(-1)) | (F.size(found) == 0), tagged(gene, "novel", text)).when(F.size(found) == 1, tagged(F.get(found, F.lit(0))["name"], "fsm/ism", text)).otherwise(tagged(gene, "ambiguous", text))
+    name = lambda found: F.get(found, F.lit(0))["name"]
+
+    def of_chain(ids: Column) -> Column:
+        text = arranged(ids)
+        found = F.filter(transcripts, lambda t: arranged(t["exons"]).contains(text))
+        told = lambda x: F.when(F.size(x) == 0, tagged(gene, "novel", text)).when(F.size(x) == 1, tagged(name(x), "fsm/ism", text)).otherwise(tagged(gene, "ambiguous", text))
+        return F.when(F.array_contains(ids, F.lit(-1)), tagged(gene, "novel", text)).otherwise(S.let(found, told))
+
+    def of_exon(e: Column) -> Column:
+        holders = F.filter(transcripts, lambda t: F.array_contains(t["exons"], e["id"]))
+        number = e["id"].cast("string")
+        told = lambda x: F.when(F.size(x) == 0, tagged(gene, "novel", number)).when(F.size(x) == 1, tagged(name(x), "mono_exonic", number)).otherwise(tagged(gene, "ambiguous", number))
+        return F.when(e.isNotNull() & covers(segment, e), S.let(holders, told)).otherwise(F.concat(gene, F.lit("(unspliced)")))
+
     segment = F.get(segments, F.lit(0))
-    e = exon_beside(segment, exons, least)
-    covered = e.isNotNull() & (I.coverage(segment["start"], segment["end"], e["start"], e["end"]) > least)
-    holders = F.filter(transcripts, lambda t: F.array_contains(t["exons"], e["id"]))
-    number = e["id"].cast("string")
-    one = F.when(F.size(holders) == 0, tagged(gene, "novel", number)).when(F.size(holders) == 1, tagged(F.get(holders, F.lit(0))["name"], "mono_exonic", number)).otherwise(tagged(gene, "ambiguous", number))
-    only = F.concat(F.coalesce(F.get(transcripts, F.lit(0))["name"], gene), F.lit("(mono-exon_match)"))
-    return F.when(spliced, many).when(F.size(exons) == 1, only).when(covered, one).otherwise(F.concat(gene, F.lit("(unspliced)")))
+    ids = F.transform(segments, own)
+    chain = S.let(F.when(plus, ids).otherwise(F.reverse(ids)), of_chain)
+    only = F.concat(F.coalesce(name(transcripts), gene), F.lit("(mono-exon_match)"))
+    return F.when(spliced, chain).when(F.size(exons) == 1, only).otherwise(S.let(exon_beside(segment, exons, least), of_exon))
 
 
 def isoforms(hits: DataFrame, models: DataFrame, strict: float = 0.9) -> DataFrame:

@@ -42,7 +42,7 @@ SELECT w.id, CAST(t.p AS INT) AS pos, substring(w.seq, t.p, 16) AS kmer FROM w,
 
 @query(X.sql("reads").rstrip() + WINDOW_SQL)
 def kmer_window(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.frame(spark, d, "reads")
+    rows = X.frame(spark, d, "reads").select("id", "seq")
     first, last = S.window_bounds(F.col("seq"), 16, (F.col("id") % 40).cast("int"), (F.col("id") % 150).cast("int"))
     return barcode.read_kmers(rows, 16, first, last)
 
