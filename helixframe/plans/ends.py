@@ -12,6 +12,7 @@ from helixframe.operators import adapters, annotate, barcode, calls, clones
 from helixframe.operators.chemistry import R1, TSO, Chemistry, reverse_complement
 from helixframe.plans import fixtures as X
 from helixframe.plans.registry import query
+from helixframe.sources import reports
 
 WITHIN = 60
 
@@ -246,3 +247,17 @@ def trimmed_reads(spark: SparkSession, d: str) -> DataFrame:
     rows = matched(spark, d).where(F.size("found") > 0)
     cut = S.trimmed(F.col("seq"), F.translate("seq", "ACGT", "!5?I"), F.get("found", F.lit(0))["pos"], F.col("strand"), F.lit(Chemistry().barcode))
     return rows.select("id", cut.alias("t")).select("id", "t.umi", "t.seq", "t.qual")
+
+
+LISTS = """, bt AS (SELECT id, string_agg(barcode || ',', '' ORDER BY n) AS names, string_agg(pos || ',', '' ORDER BY n) AS starts, string_agg(edits || ',', '' ORDER BY n) AS edits FROM b GROUP BY id)"""
+REPORT_SQL = CALL_SQL.split("\nSELECT")[0] + """ SELECT CAST(q.id AS STRING) AS read_id, coalesce(st, CASE WHEN b.barcode IS NULL THEN 'Barcode_missing' ELSE 'fine' END) AS status, CAST(coalesce(outer_, -1) AS STRING) AS "outer", CASE WHEN st IS NULL AND b.barcode IS NOT NULL THEN b.barcode ELSE '*' END AS barcode,
+CASE WHEN st IS NULL AND b.barcode IS NOT NULL THEN CAST(b.pos AS STRING) ELSE '-1' END AS barcode_start, CAST(coalesce(inner_, -1) AS STRING) AS "inner", CASE WHEN st IS NULL AND b.barcode IS NOT NULL THEN CASE WHEN q.strand = 0 THEN 'forward' ELSE 'reverse' END ELSE '*' END AS barcode_strand,
+CASE WHEN st IS NULL AND b.barcode IS NOT NULL THEN CAST(b.edits AS STRING) ELSE '-1' END AS barcode_mismatch, CASE WHEN known IS NULL THEN '0' ELSE '1' END AS polyat, CASE WHEN st IS NULL THEN CAST(coalesce(n_barcodes, 0) AS STRING) ELSE '0' END AS n_barcodes,
+CASE WHEN st IS NULL THEN coalesce(bt.names, '*') ELSE '*' END AS barcodes, CASE WHEN st IS NULL THEN coalesce(bt.starts, '*') ELSE '*' END AS barcode_starts, CASE WHEN st IS NULL THEN coalesce(bt.edits, '*') ELSE '*' END AS barcode_mismatches
+FROM q LEFT JOIN b ON b.id = q.id AND b.n = 1 LEFT JOIN bl ON bl.id = q.id LEFT JOIN bt ON bt.id = q.id"""
+
+
+@query(WINDOWS + MATCHED + LISTS + REPORT_SQL)
+def summary_report(spark: SparkSession, d: str) -> DataFrame:
+    """The read summary's cells in the layout of thirteen columns."""
+    return reports.summary(calls.call(X.frame(spark, d, "noisy"), X.frame(spark, d, "whitelist"), within=WITHIN), 2)

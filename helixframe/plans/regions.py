@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.functions import interval as I
 from helixframe.functions.sequence import once
 from helixframe.operators import annotate, chimera, regions
 from helixframe.plans import fixtures as X
@@ -246,3 +247,39 @@ SELECT gene, min(s) AS start, max(e) AS "end", count(*) AS members FROM i GROUP
 @query(LOOSE)
 def loose_exons(spark: SparkSession, d: str) -> DataFrame:
     return regions.merge(exon_rows(spark, d).select("gene", "start", "end"), "gene")
+
+
+FEATURES = "[struct_pack(s := start - 10 - ord, e := end_, id := 'a'), struct_pack(s := start + quantity % 7, e := end_, id := 'b'), struct_pack(s := start - 50, e := end_ + quantity, id := 'c')]"
+FEATURE_SQL = X.sql("hits") + f""", f AS (SELECT hit, start, end_, unnest({FEATURES}) AS f, unnest(range(0, 3)) AS i FROM hits), d AS (SELECT hit, f.id AS id, i, 1 - greatest(0, least(f.e, end_) - greatest(f.s, start) + 1) / CAST(f.e - f.s + 1 AS DOUBLE) AS left_ FROM f)
+SELECT hit, id FROM (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY left_, i) AS n FROM d) WHERE n = 1"""
+
+
+@query(FEATURE_SQL)
+def feature_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The one of several features at a hit's place of which the hit leaves least uncovered."""
+    one = lambda s, e, n: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), F.lit(n).alias("id"))
+    start, end = F.col("start"), F.col("end")
+    features = F.array(one(start - 10 - F.col("ord"), end, "a"), one(start + F.col("quantity") % 7, end, "b"), one(start - 50, end + F.col("quantity"), "c"))
+    return X.frame(spark, d, "hits").select("hit", annotate.choose_feature(start, end, features).alias("id"))
+
+
+EXON_SETS = ("[ord, quantity % 3, 1]", "[quantity % 3, ord]")
+EXON_SET_SQL = X.sql("hits") + f""", x AS (SELECT hit, {EXON_SETS[0]} AS a, {EXON_SETS[1]} AS b FROM hits)
+SELECT hit, list_sort(a) = list_sort(b || [1]) AS same, list_sort(a) = list_sort(b) AS shorter, len(list_filter(b, lambda x: len(list_filter(a, lambda y: y = x)) < len(list_filter(b, lambda y: y = x)))) = 0 AS holds, len(list_filter(a, lambda x: len(list_filter(b, lambda y: y = x)) < len(list_filter(a, lambda y: y = x)))) = 0 AS held FROM x"""
+
+
+@query(EXON_SET_SQL)
+def exon_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Whether lists of exons hold the same ones, or one all of the other."""
+    a, b = F.array("ord", F.col("quantity") % 3, F.lit(1)), F.array(F.col("quantity") % 3, F.col("ord"))
+    return X.frame(spark, d, "hits").select("hit", I.same_exons(a, F.concat(b, F.array(F.lit(1)))).alias("same"), I.same_exons(a, b).alias("shorter"), I.contains_exons(a, b).alias("holds"), I.contains_exons(b, a).alias("held"))
+
+
+REPORT_SQL = POLY_SQL.rsplit("SELECT id, CAST", 1)[0] + "SELECT CAST(id AS STRING) AS read_id, CASE verdict WHEN 'split' THEN concat(id, '-1,-2') ELSE CAST(id AS STRING) END AS children, CAST(id % 90 AS INT) AS barcode_start, CAST(CASE verdict WHEN 'split' THEN cut ELSE -1 END AS INT) AS cut, CASE verdict WHEN 'split' THEN 'splited' ELSE verdict END AS verdict FROM w"
+
+
+@query(REPORT_SQL)
+def split_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report on reads that are split at their tails."""
+    rows = once(long_reads(spark, d), "c", chimera.tail_cut(F.col("seq"), F.col("f")))
+    return chimera.split_report(rows.select("id", (F.col("id") % 90).cast("int").alias("barcode_start"), "c.cut", "c.verdict"))

@@ -10,6 +10,7 @@ from helixframe.functions import distance as D
 from helixframe.functions import interval as I
 from helixframe.functions import sequence as S
 from helixframe.operators import adapters, annotate, barcode, dtw
+from helixframe.operators.chemistry import R1
 from helixframe.plans import fixtures as X
 from helixframe.plans.registry import query
 
@@ -300,3 +301,17 @@ def list_codecs(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.select("hit", C.coverages(F.col("covs")).alias("covs"), C.hit_groups(F.col("cell")).alias("g"), C.integers(F.regexp_replace("cell", ";", ",")).alias("ints"))
     add = lambda c, zero: F.aggregate(c, zero, lambda a, x: a + x)
     return rows.select("hit", F.round(add("covs", F.lit(0.0)), 6).alias("covered"), add("ints", F.lit(0)).alias("total"), F.size("g").alias("n_groups"), C.hit_groups_text(F.col("g")).alias("groups_text"))
+
+
+LEVEL_SQL = X.sql("whitelist").rstrip() + f""", w AS (SELECT ordinal, barcode, 0 AS strand, '{R1}' || barcode AS word FROM whitelist UNION ALL SELECT ordinal, barcode, 3, {rc(f"('{R1}' || barcode)")} FROM whitelist),
+l AS (SELECT ordinal, barcode, strand, CAST(p AS INT) AS pos, (""" + " + ".join(f"(strpos('ACGT', substring(word, p + {i}, 1)) - 1) * {4 ** (5 - i)}" for i in range(6)) + """) % 97 - CAST(48.5 AS DOUBLE) AS level FROM w, unnest(range(1, 34)) AS t(p))
+SELECT ordinal, barcode, CAST(strand AS INT) AS strand, pos, level, min(level) OVER n AS lower, max(level) OVER n AS upper, CAST(row_number() OVER (PARTITION BY ordinal, barcode, strand ORDER BY abs(level) DESC, pos) AS INT) AS rank FROM l WINDOW n AS (PARTITION BY ordinal, barcode, strand ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"""
+
+
+@query(LEVEL_SQL)
+def whitelist_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Levels, envelope and order by magnitude of each barcode behind the adapter, on both strands."""
+    rows = dtw.whitelist_levels(X.frame(spark, d, "whitelist"), dtw.demo_model())
+    ranks = F.transform("levels", lambda _, i: F.array_position("by_magnitude", i))
+    rows = rows.select("ordinal", "barcode", "strand", F.posexplode(F.arrays_zip("levels", "lower", "upper", ranks.alias("rank"))).alias("p", "z"))
+    return rows.select("ordinal", "barcode", "strand", (F.col("p") + 1).alias("pos"), F.col("z.levels").alias("level"), "z.lower", "z.upper", F.col("z.rank").cast("int").alias("rank"))

@@ -93,3 +93,12 @@ def latest_wins(spark: SparkSession, d: str) -> DataFrame:
 def read_annotation_join(spark: SparkSession, d: str) -> DataFrame:
     hits = X.frame(spark, d, "hits").where("quantity > 25").select("id", F.concat(F.lit("G"), F.col("partkey")).alias("gene"))
     return calls.annotated(X.frame(spark, d, "reads").select("id"), hits)
+
+
+@query(X.sql("clones") + "SELECT locus, count(*) AS n, count(CASE WHEN id % 3 > 0 THEN 1 END) AS productive FROM clones WHERE value % 101 > 40 AND (value * 7) % 101 > 40 GROUP BY locus")
+def identity_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences above an identity, and the productive ones among them, by locus."""
+    rows = X.frame(spark, d, "clones").select("locus", (F.col("value") % 101).alias("v_identity"), ((F.col("value") * 7) % 101).alias("j_identity"), F.when(F.col("id") % 3 > 0, "Yes").otherwise("No").alias("productive"))
+    every = clones.passing(rows, 40).groupBy("locus").agg(F.count("*").alias("n"))
+    some = clones.passing(rows, 40, productive=True).groupBy(F.col("locus").alias("p_locus")).agg(F.count("*").alias("productive"))
+    return every.join(some, F.col("locus").eqNullSafe(F.col("p_locus")), "left").select("locus", "n", F.coalesce("productive", F.lit(0)).alias("productive"))
