@@ -33,7 +33,7 @@ SPREAD = (0.15, 0.1, 0.12, 0.06, 0.04, 0.03)
 P = len(SPREAD)
 SUBSET = 0.75
 LEAST = 60
-BUCKET_ROWS = 4000
+BUCKET_ROWS = 1000
 BROADCAST = 20_000
 STARTS = 12
 STEPS = 3
