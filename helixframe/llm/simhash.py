@@ -135,8 +135,9 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return rows.join(by_print, F.col("fp") == F.col("p_fp")).select("doc_id", "fp", "component_id")
 
 
-#: For similarity: classes in which shingles are counted for their order, members of each key that the others meet first, round by round, how many of them in the first round, and members of a key in a block.
-CLASSES, LEADERS, NAMED, BLOCK = 1 << 16, (16, 96), 6, 1000
+#: For similarity: classes in which shingles are counted for their order, members of each key that the others meet first, round by round, how many of them in the first round, members that a label
+#: must have for them to be met in later rounds, and members of a key in a block.
+CLASSES, LEADERS, NAMED, MANY, BLOCK = 1 << 16, (2, 64), 2, 8, 1000
 #: Words of a wide fingerprint, and the bits by which two may differ that are compared in full. Sets with a similarity of 0.8 differ in 39 of 256 bits, with a standard
 #: deviation of 6, and in 48 if they are very small; 96 is beyond seven deviations.
 WIDE, FAR = 4, 96
@@ -249,12 +250,14 @@ def pair(a: str, b: str) -> list[F.Column]:
 
 
 def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """key, id, n, at, label of each shared shingle of rows (id, n, shared: array<struct<at, key>>)."""
+    """key, id, n, at, label and size (the label's members) of each shared shingle of rows (id, n, shared: array<struct<at, key>>)."""
     if labels is None:
-        named = rows.withColumn("label", F.col("id"))
+        named = rows.withColumns({"label": F.col("id"), "size": F.lit(1)})
     else:
-        named = rows.join(labels, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id"))
-    return named.select("id", "n", "label", F.explode("shared").alias("s")).select("s.key", "id", "n", "s.at", "label")
+        sizes = labels.groupBy(F.col("label").alias("s_label")).agg(F.count("*").cast("int").alias("size"))
+        sized = labels.join(sizes, F.col("label") == F.col("s_label")).select("node", "label", "size")
+        named = rows.join(sized, F.col("id") == F.col("node"), "left").withColumns({"label": F.coalesce("label", "id"), "size": F.coalesce("size", F.lit(1))})
+    return named.select("id", "n", "label", "size", F.explode("shared").alias("s")).select("s.key", "id", "n", "s.at", "label", "size")
 
 
 def divided(table: DataFrame) -> DataFrame:
@@ -264,10 +267,12 @@ def divided(table: DataFrame) -> DataFrame:
 
 
 def leader_pairs(table: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """Each member with some of each of its keys, others in each turn; in the first turn only with the NAMED that most of its keys name."""
+    """Each member with some of each of its keys, others in each turn: in the first turn only with the NAMED that most of its keys name, later with members
+    of labels that MANY have, which are the groups of near copies."""
     h = F.xxhash64("id", F.lit(turn))
     row = F.struct(h.alias("h"), "id", "n", "at", "label")
-    lead = table.groupBy("key", F.pmod(h, F.lit(LEADERS[turn])).alias("part")).agg(F.min(row).alias("l"))
+    able_to_lead = table if turn == 0 else table.where(F.col("size") >= MANY)
+    lead = able_to_lead.groupBy("key", F.pmod(h, F.lit(LEADERS[turn])).alias("part")).agg(F.min(row).alias("l"))
     lead = lead.select(F.col("key").alias("l_key"), *(F.col(f"l.{c}").alias(f"l_{c}") for c in ("id", "n", "at", "label")))
     met = table.join(lead, F.col("key") == F.col("l_key")).where((F.col("label") != F.col("l_label")) & able("", "l_", similarity))
     if turn == 0:
