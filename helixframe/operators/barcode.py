@@ -114,13 +114,6 @@ def matched_by_join(rows: DataFrame, whitelist: DataFrame, length: int, edits: i
     return rows.join(found, F.col("id") == F.col("m_id"), "left").withColumn("found", F.coalesce("found", F.array().cast(MATCHES))).drop("m_id")
 
 
-def best_barcode(matches: DataFrame) -> DataFrame:
-    """One row per read: the match of fewest edits, ties to the earlier place, then the lower ordinal; n_barcodes: different barcodes matched."""
-    order = F.struct("edits", "pos", "ordinal", "strand", "barcode")
-    best = matches.groupBy("id").agg(F.min(order).alias("b"), F.count_distinct("barcode").alias("n_barcodes"))
-    return best.select("id", "b.barcode", "b.pos", "b.strand", "b.edits", "n_barcodes")
-
-
 def barcode_score(edits: Column) -> Column:
     """Penalty of a barcode by its edits."""
     # The penalties of 0 to 4 edits, and that of all others.
