@@ -135,11 +135,12 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return rows.join(by_print, F.col("fp") == F.col("p_fp")).select("doc_id", "fp", "component_id")
 
 
-#: For similarity: classes in which shingles are counted for their order, members of each key that the others meet first, round by round, how many of them in the first round, members that a label
-#: must have for them to be met in later rounds, and one key of how many then counts, and members of a key in a block.
+#: For similarity: classes in which shingles are counted for their order; members of each key that the others meet first, round by round (LEADERS); how
+#: many of them count in the first round (NAMED); members that a label must have for them to be met in later rounds (MANY), and one key of how many
+#: counts there (SPARE); members of a key in a block, when all are compared.
 CLASSES, LEADERS, NAMED, MANY, SPARE, BLOCK = 1 << 16, (2, 48, 96), 2, 8, 3, 1000
-#: Words of a wide fingerprint, and the bits by which two may differ that are compared in full. Sets with a similarity of 0.8 differ in 39 of 256 bits, with a standard
-#: deviation of 6, and in 48 if they are very small; 96 is beyond seven deviations.
+#: Words of a wide fingerprint, and the bits by which two may differ that are compared in full. Sets with a similarity of 0.8 differ in 39 of 256 bits,
+#: with a standard deviation of 6, and in 48 if they are very small; 96 is beyond seven deviations.
 WIDE, FAR = 4, 96
 
 
