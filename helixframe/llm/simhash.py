@@ -136,9 +136,9 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 #: For similarity: classes in which shingles are counted for their order; members of each key that the others meet first, round by round (LEADERS); how
-#: many of them count in the first round (NAMED); members that a label must have for them to be met in later rounds (MANY), and one key of how many
-#: counts there (SPARE); members of a key in a block, when all are compared.
-CLASSES, LEADERS, NAMED, MANY, SPARE, BLOCK = 1 << 16, (2, 48, 96), 2, 8, 3, 1000
+#: many of them count in the first round (NAMED); members that a label must have for them to be met in later rounds (MANY); members of a key in a block,
+#: when all are compared.
+CLASSES, LEADERS, NAMED, MANY, BLOCK = 1 << 16, (2, 40), 2, 8, 1000
 #: Words of a wide fingerprint, and the bits by which two may differ that are compared in full. Sets with a similarity of 0.8 differ in 39 of 256 bits,
 #: with a standard deviation of 6, and in 48 if they are very small; 96 is beyond seven deviations.
 WIDE, FAR = 4, 96
@@ -272,8 +272,6 @@ def leader_pairs(table: DataFrame, turn: int, similarity: float) -> DataFrame:
     of labels that MANY have, which are the groups of near copies."""
     h = F.xxhash64("id", F.lit(turn))
     row = F.struct(h.alias("h"), "id", "n", "at", "label")
-    if turn:  # a part of the keys will do: groups share many
-        table = table.where(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(SPARE)) == 0)
     lead = table.where(F.col("size") >= (MANY if turn else 1)).groupBy("key", F.pmod(h, F.lit(LEADERS[turn])).alias("part")).agg(F.min(row).alias("l"))
     lead = lead.select(F.col("key").alias("l_key"), *(F.col(f"l.{c}").alias(f"l_{c}") for c in ("id", "n", "at", "label")))
     met = table.join(lead, F.col("key") == F.col("l_key")).where((F.col("label") != F.col("l_label")) & able("", "l_", similarity))
