@@ -121,7 +121,10 @@ def fetched(table: DataFrame, probes: DataFrame, place: list[str]) -> DataFrame:
 def groups(rows: DataFrame) -> DataFrame:
     """fp, label: the group of each different fingerprint of rows, named by its least fingerprint."""
     prints = materialise(rows.select("fp").distinct(), "fingerprints")
-    joined = components(materialise(links(prints), "fingerprint-links"))
+    near = materialise(links(prints), "fingerprint-links")
+    free(rows.sparkSession)
+    joined = components(near)
+    discard(near)
     return prints.join(joined, prints.fp == joined.node, "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 

@@ -301,3 +301,16 @@ def test_pipeline(spark, tmp_path):
     want = packing.with_crc(packing.pack(docs)).select("doc_id").distinct().count()
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == want
     assert not {r.doc_id for r in docs.collect()} & set(range(0, 240, 6))
+
+
+def test_pipeline_dedups_by_fingerprints(spark):
+    """The stage keeps one document of each group of fingerprints within two bits, and no other."""
+    from helixframe.llm import pipeline
+
+    rows = [r for r in near_copies() if r[0] is not None]
+    prints = [plain_print(r[1], 3) for r in rows]
+    smallest = {}
+    for r, t in zip(rows, plain_groups(prints)):
+        smallest[t] = min(smallest.get(t, r[0]), r[0])
+    kept = dict(pipeline.STAGES)["simhash near-dedup"](spark, spark.createDataFrame(rows, DOC), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(smallest.values())
