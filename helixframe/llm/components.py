@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import discard, materialise
+from helixframe.llm.common import discard, materialise, sorted_join
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -14,7 +14,7 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = both.union(edges.select("dst", "src"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "w")
-    at = both.join(least, F.col("u") == F.col("w"))
+    at = sorted_join(both, least, "u", "w")
     if large:
         out = at.where("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
     else:
@@ -23,7 +23,7 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, label: every node that has an edge, and the least node of its component. edges: src, dst, two numbers each; rows with a null are left out, and no
+    """node, label: every node that has an edge, and the least node of its component. edges: src, dst, two whole numbers each; rows with a null are left out, and no
     edges give no rows.
 
     The rounds needed grow with the logarithm of the largest component's diameter."""

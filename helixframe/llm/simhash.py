@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import discard, free, fresh, light, materialise, slices, texts, tidy, utf8
+from helixframe.llm.common import discard, free, fresh, light, materialise, slices, sorted_join, texts, tidy, utf8
 from helixframe.llm.components import components
 
 BITS, SEGMENTS, RADIUS, HOT = 64, 2, 2, 512
@@ -115,7 +115,7 @@ def fetched(table: DataFrame, probes: DataFrame, place: list[str]) -> DataFrame:
     there = table.select(F.col("fp").alias("dst"), *(F.col(c).alias(f"t_{c}") for c in place))
     same = [F.col(c) == F.col(f"t_{c}") for c in place]
     near = (F.col("fp") > F.col("dst")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("dst"))) <= RADIUS)
-    return probes.join(there, [*same, near]).select(F.col("fp").alias("src"), "dst")
+    return probes.join(there.hint("merge"), [*same, near]).select(F.col("fp").alias("src"), "dst")
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def groups(rows: DataFrame) -> DataFrame:
     free(rows.sparkSession)
     joined = components(near)
     discard(near)
-    return prints.join(joined, prints.fp == joined.node, "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    return sorted_join(prints, joined, "fp", "node", "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -133,9 +133,9 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     rows = materialise(with_fingerprint(texts(docs), "text", "fp", ["doc_id"], width), "document-fingerprints")
     named = materialise(groups(rows), "fingerprint-groups")
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumnRenamed("fp", "r_fp")
-    ids = named.join(least, F.col("fp") == F.col("r_fp")).groupBy("label").agg(F.min("first").alias("component_id")).withColumnRenamed("label", "i_label")
-    by_print = named.join(ids, F.col("label") == F.col("i_label")).select(F.col("fp").alias("p_fp"), "component_id")
-    return rows.join(by_print, F.col("fp") == F.col("p_fp")).select("doc_id", "fp", "component_id")
+    ids = sorted_join(named, least, "fp", "r_fp").groupBy("label").agg(F.min("first").alias("component_id")).withColumnRenamed("label", "i_label")
+    by_print = sorted_join(named, ids, "label", "i_label").select(F.col("fp").alias("p_fp"), "component_id")
+    return sorted_join(rows, by_print, "fp", "p_fp").select("doc_id", "fp", "component_id")
 
 
 #: For similarity: classes in which shingles are counted for their order; members of each key that the others meet first, round by round (LEADERS); how
@@ -364,5 +364,5 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     least = narrow.groupBy("fp").agg(F.min(order).alias("first")).withColumnRenamed("fp", "r_fp")
     named = groups(narrow)
-    chosen = named.join(least, F.col("fp") == F.col("r_fp")).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias(kept))
-    return rows.join(chosen, F.col(f"`{row}`") == F.col(kept), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    chosen = sorted_join(named, least, "fp", "r_fp").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias(kept))
+    return sorted_join(rows, chosen, f"`{row}`", kept, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,9 +7,11 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helixframe.llm import components, importance, packing, quality_rules, simhash
+from helixframe.llm.common import materialise
 
 DOC = "doc_id long, text string, lang string, source string, kept_row string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -179,6 +181,17 @@ def test_near_duplicates(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_nothing_that_grows_is_broadcast(spark):
+    """The files of a million fingerprints are small, but the hash table that a broadcast makes of them fills a driver of 1 GB."""
+    prints = materialise(spark.range(3000).select(F.xxhash64("id").alias("fp")), "prints")
+    edges = materialise(spark.range(1, 3000).selectExpr("id as src", "id - 1 as dst"), "edges")
+    docs = spark.createDataFrame(near_copies(), DOC)
+    for df in (simhash.links(prints), simhash.groups(prints), components.star(edges, large=True), simhash.near_duplicates(docs), simhash.keep_one(docs)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_similar(spark):
     rng = random.Random(11)
     rows, parent = [], []
